@@ -2,43 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callglass import schema as S
 
-Rules = dict[str, Column]
+#: Rule name to the SQL condition that breaks it.
+Rules = dict[str, str]
 
 
-def call_rules() -> Rules:
-    """Conditions that a stored call must not meet."""
-    rules: Rules = {f"{m}_non_negative": F.col(m) < 0 for m in S.MEASURES}
-    rules["completed_after_started"] = F.col("completed_at") < F.col("started_at")
-    rules["status_domain"] = ~F.col("status").isin(*S.CALL_STATUSES)
-    for c in ("id", "schema_version", "provider", "model", "status", "streamed", "started_at", "completed_at",
-              "ingested_at"):
-        rules[f"{c}_not_null"] = F.col(c).isNull()
-    for c, limit in (("provider", S.MAX_PROVIDER_CHARS), ("model", S.MAX_MODEL_CHARS),
-                     ("error_type", S.MAX_ERROR_TYPE_CHARS), ("finish_reason", S.MAX_FINISH_REASON_CHARS)):
-        rules[f"{c}_length"] = F.length(c) > limit
-    return rules
+def one_of(column: str, values: tuple[str, ...]) -> str:
+    return f"{column} not in ({', '.join(repr(v) for v in values)})"
 
 
-def message_rules() -> Rules:
-    return {
-        "role_domain": ~F.col("role").isin(*S.ROLES),
-        "content_length": ~F.length("content").between(1, S.MAX_MESSAGE_CHARS),
-        "conversation_id_not_null": F.col("conversation_id").isNull(),
-        "seq_not_null": F.col("seq").isNull(),
-        "content_not_null": F.col("content").isNull(),
-    }
+CALL_RULES: Rules = {
+    **{f"{m}_non_negative": f"{m} < 0" for m in S.MEASURES},
+    "completed_after_started": "completed_at < started_at",
+    "status_domain": one_of("status", S.CALL_STATUSES),
+    **{
+        f"{c}_not_null": f"{c} is null"
+        for c in ("id", "schema_version", "provider", "model", "status", "streamed", "started_at", "completed_at",
+                  "ingested_at")
+    },
+    "provider_length": f"length(provider) > {S.MAX_PROVIDER_CHARS}",
+    "model_length": f"length(model) > {S.MAX_MODEL_CHARS}",
+    "error_type_length": f"length(error_type) > {S.MAX_ERROR_TYPE_CHARS}",
+    "finish_reason_length": f"length(finish_reason) > {S.MAX_FINISH_REASON_CHARS}",
+}
+
+MESSAGE_RULES: Rules = {
+    "role_domain": one_of("role", S.ROLES),
+    "content_length": f"length(content) not between 1 and {S.MAX_MESSAGE_CHARS}",
+    "conversation_id_not_null": "conversation_id is null",
+    "seq_not_null": "seq is null",
+    "content_not_null": "content is null",
+}
 
 
 def violations(rows: DataFrame, rules: Rules) -> DataFrame:
     """How many rows break each rule, in one scan."""
-    names = list(rules)
-    counted = rows.agg(*[F.count_if(rules[n]).alias(n) for n in names])
-    pairs = F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("violations")) for n in names])
+    counted = rows.agg(*[F.count_if(F.expr(condition)).alias(name) for name, condition in rules.items()])
+    pairs = F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("violations")) for n in rules])
     return counted.select(F.inline(pairs))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callglass.functions import text as X
+from callglass.functions.frames import compute_once
 
 #: Chunks per run, and runs whose text is joined into one value. A longer call
 #: (16 million chunks and more) keeps its text in the rows of ``fold_runs``.
@@ -28,46 +29,48 @@ def normalise(lines: DataFrame, line: str = "line") -> DataFrame:
     choice-list events are told apart by their keys. An event with both usage and text
     counts for both.
     """
-    doc = lines.withColumn("_d", F.try_parse_json(line))
-    text = lambda path: F.try_variant_get("_d", path, "string")
-    number = lambda path: F.try_variant_get("_d", path, "int")
-    kind = text("$.type")
-    typed = kind.isNotNull()
-    null_text = F.lit(None).cast("string")
-    delta = F.when(typed, F.when((kind == "content_block_delta") & (text("$.delta.type") == "text_delta"),
-                                 text("$.delta.text"))).otherwise(text("$.choices[0].delta.content"))
-    usage = F.try_variant_get("_d", "$.usage", "variant")
-    has_usage = F.when(typed, kind.isin("message_start", "message_delta")).otherwise(
-        usage.isNotNull() & ~F.is_variant_null(usage)
+    get = lambda key, kind: F.try_variant_get("_d", f"$.{key}", kind)
+    doc = compute_once(lines, _d=F.try_parse_json(line))
+    parts = compute_once(
+        doc,
+        type=get("type", "string"),
+        id=get("id", "string"),
+        delta=get("delta", "struct<type string, text string, stop_reason string>"),
+        message=get("message", "struct<id string, usage struct<input_tokens int>>"),
+        usage=get("usage", "struct<prompt_tokens int, completion_tokens int, output_tokens int, "
+                           "completion_tokens_details struct<reasoning_tokens int>>"),
+        choice=get("choices[0]", "struct<delta struct<content string>, finish_reason string>"),
     )
-    inp = F.when(typed, F.when(kind == "message_start", number("$.message.usage.input_tokens"))).otherwise(
-        number("$.usage.prompt_tokens")
+    typed, start = F.col("type").isNotNull(), F.col("type") == "message_start"
+    end, text = F.col("type") == "message_delta", F.col("type") == "content_block_delta"
+    told = compute_once(
+        parts,
+        _delta=F.when(typed, F.when(text & (F.col("delta.type") == "text_delta"), F.col("delta.text"))).otherwise(
+            F.col("choice.delta.content")
+        ),
+        _usage=F.when(typed, start | end).otherwise(F.col("usage").isNotNull()),
+        input_tokens=F.when(typed, F.when(start, F.col("message.usage.input_tokens"))).otherwise(
+            F.col("usage.prompt_tokens")
+        ),
+        output_tokens=F.when(typed, F.when(end, F.col("usage.output_tokens"))).otherwise(
+            F.col("usage.completion_tokens")
+        ),
+        finish_reason=F.when(typed, F.when(end, F.col("delta.stop_reason"))).otherwise(F.col("choice.finish_reason")),
+        _request=F.when(typed, F.when(start, F.col("message.id"))).otherwise(
+            F.when(F.col("usage").isNotNull(), F.col("id"))
+        ),
+        _reasoning=F.when(~typed, F.col("usage.completion_tokens_details.reasoning_tokens")),
     )
-    out = F.when(typed, F.when(kind == "message_delta", number("$.usage.output_tokens"))).otherwise(
-        number("$.usage.completion_tokens")
+    has_text = F.when(typed, F.col("_delta").isNotNull()).otherwise(F.length("_delta") > 0)
+    kept = F.col("_usage") | F.coalesce(has_text, F.lit(False)) | F.col("finish_reason").isNotNull()
+    metadata = F.to_json(
+        F.struct(F.col("_request").alias("provider_request_id"), F.col("_reasoning").alias("reasoning_tokens"))
     )
-    reason = F.when(typed, F.when(kind == "message_delta", text("$.delta.stop_reason"))).otherwise(
-        text("$.choices[0].finish_reason")
+    return told.where(kept).select(
+        "call_id", "chunk_no", "emitted_at", F.coalesce("_delta", F.lit("")).alias("delta_text"),
+        "input_tokens", "output_tokens", "finish_reason",
+        F.when(F.col("_request").isNotNull() | F.col("_reasoning").isNotNull(), metadata).alias("metadata_json"),
     )
-    request = F.when(typed, F.when(kind == "message_start", text("$.message.id"))).otherwise(
-        F.when(has_usage, text("$.id"))
-    )
-    reasoning = F.when(~typed, number("$.usage.completion_tokens_details.reasoning_tokens"))
-    meta = F.when(
-        request.isNotNull() | reasoning.isNotNull(),
-        F.to_json(F.struct(request.alias("provider_request_id"), reasoning.alias("reasoning_tokens"))),
-    )
-    chunks = doc.select(
-        "call_id", "chunk_no", "emitted_at",
-        F.coalesce(delta, F.lit("")).alias("delta_text"),
-        inp.alias("input_tokens"), out.alias("output_tokens"),
-        F.coalesce(reason, null_text).alias("finish_reason"),
-        meta.alias("metadata_json"),
-        F.when(typed, kind.isin("message_start", "message_delta") | delta.isNotNull())
-        .otherwise((F.coalesce(delta, F.lit("")) != "") | has_usage | reason.isNotNull())
-        .alias("_kept"),
-    )
-    return chunks.where("_kept").drop("_kept")
 
 
 def _run_measures() -> list[Column]:

@@ -3,6 +3,10 @@
 Reading is lenient the way the producers' contract is: numbers may come as text
 (``"5"``) or as ``5.0``, times as ISO text or as an epoch number, flags as words.
 Every check is a column expression that cannot fail, so one bad row never stops a batch.
+
+Nearly all events are plain: the JSON kinds are exactly those of the contract. One look
+at the document's shape finds them, and they are read with one typed extraction. Only
+the others go through the lenient reading and get their problems named.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ _ISO = (
     r"^([0-9]{4}-[0-9]{2}-[0-9]{2})(?:[Tt _]([0-9]{2}:[0-9]{2})(:[0-9]{2})?(?:[.,]([0-9]{1,6})[0-9]*)?"
     r"(?:([Zz])|([+-][0-9]{2}):?([0-9]{2}))?)?$"
 )
+_PLAIN_TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{1,6})?Z$"
+_PLAIN_UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 _INT_FIELDS = ("schema_version", *S.MEASURES)
 _TEXT_FIELDS = ("event_type", "provider", "model", "status", "input_preview", "output_preview", "error_type", "error_message",
                 "finish_reason")
@@ -42,7 +48,9 @@ def canonical_uuid(text: Column) -> Column:
     """Lower-case 8-4-4-4-12 form of any accepted spelling; null when it is none."""
     bare = F.regexp_replace(F.regexp_replace(F.lower(text), r"urn:|uuid:", ""), r"^[{}]+|[{}]+$|-", "")
     split = r"^(.{8})(.{4})(.{4})(.{4})(.{12})$"
-    return F.when(bare.rlike("^[0-9a-f]{32}$"), F.regexp_replace(bare, split, "$1-$2-$3-$4-$5"))
+    return F.when(text.rlike(_PLAIN_UUID), text).when(
+        bare.rlike("^[0-9a-f]{32}$"), F.regexp_replace(bare, split, "$1-$2-$3-$4-$5")
+    )
 
 
 def decode(envelopes: DataFrame, data: str = "data") -> DataFrame:
@@ -135,24 +143,74 @@ def _told(e: Column, *cases: tuple[Column, str]) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.concat(e["name"], F.lit(f":{m}"))) for c, m in cases]))
 
 
+def _plain_shape() -> str:
+    """Pattern of the shape of a document that needs no leniency; keys are in sorted order there."""
+    kinds = {k: "BIGINT" for k in _INT_FIELDS} | {"streamed": "BOOLEAN", "raw_metadata": "OBJECT<[^<>]*>"}
+    parts = []
+    for key in sorted(S.KNOWN_KEYS):
+        kind = kinds.get(key, "STRING")
+        if key == "id" or key in _REQUIRED:
+            parts.append(f", {key}: {kind}")
+        elif key in _NOT_NULL:
+            parts.append(f"(?:, {key}: {kind})?")
+        else:
+            parts.append(f"(?:, {key}: (?:{kind}|VOID))?")
+    return "^OBJECT<" + "".join(parts).removeprefix(", ") + ">$"
+
+
+def _read_plain(decoded: DataFrame) -> DataFrame:
+    """Adds ``_event``, the typed row of a plain valid event, and ``_slow`` for any other row with an id."""
+    types = {k: "bigint" for k in _INT_FIELDS} | {"streamed": "boolean", "raw_metadata": "variant"}
+    shape = ", ".join(f"{k} {types.get(k, 'string')}" for k in _WANTED)
+    plain = F.col("id").isNotNull() & F.schema_of_variant("doc").rlike(_plain_shape())
+    seen = compute_once(decoded, _p=F.when(plain, F.try_variant_get("doc", "$", f"struct<{shape}>")))
+    seen = compute_once(
+        seen, **{f"_{k}": F.when(F.col(f"_p.{k}").rlike(_PLAIN_TIME), F.col(f"_p.{k}").try_cast("timestamp")) for k in _TIME_FIELDS}
+    )
+    p = lambda k: F.col(f"_p.{k}")
+    optional = lambda k, good: p(k).isNull() | good
+    ok = [
+        F.col("_p").isNotNull(),
+        F.col("_completed_at") >= F.col("_started_at"),
+        p("status").isin(*S.CALL_STATUSES),
+        (p("status") != "error") | (F.length(p("error_message")) > 0),
+        optional("event_type", p("event_type") == S.EVENT_TYPE),
+        optional("schema_version", p("schema_version").between(-(2**31), 2**31 - 1)),
+        *[optional(k, p(k).between(0, 2**31 - 1)) for k in S.MEASURES],
+        *[optional(k, F.length(p(k)).between(*_LENGTHS[k])) for k in _LENGTHS],
+        *[optional(k, p(k).rlike(_PLAIN_UUID)) for k in _UUID_FIELDS],
+    ]
+    all_ok = ok[0]
+    for c in ok[1:]:
+        all_ok = all_ok & c
+    seen = compute_once(seen, _slow=F.col("id").isNotNull() & ~F.coalesce(all_ok, F.lit(False)))
+    values = {"id": F.col("id")} | {k: p(k) for k in _WANTED} | {k: F.col(f"_{k}") for k in _TIME_FIELDS}
+    values |= {k: p(k).try_cast("int") for k in _INT_FIELDS}
+    values["schema_version"] = F.coalesce(values["schema_version"], F.lit(S.SCHEMA_VERSION))
+    values["streamed"] = F.coalesce(p("streamed"), F.lit(False))
+    event = F.struct(*[values[c].alias(c) for c in S.EVENT_COLUMNS])
+    return seen.select(*decoded.columns, "_slow", F.when(F.col("_p").isNotNull() & ~F.col("_slow"), event).alias("_event"))
+
+
 def _probe(decoded: DataFrame) -> DataFrame:
-    """Adds each field's raw value and JSON kind, then the values read by type.
+    """Adds, for slow rows, each field's raw value and JSON kind, then the values read by type.
 
     Fields of one type go through one ``transform``, which keeps the generated code small.
     """
     shape = ", ".join(f"{k} variant" for k in _WANTED)
     raw = compute_once(
-        decoded, _f=F.when(F.col("id").isNotNull(), F.try_variant_get("doc", "$", f"struct<{shape}>"))
+        decoded, _f=F.when(F.col("_slow"), F.try_variant_get("doc", "$", f"struct<{shape}>"))
     )
     pairs = F.array(*[F.struct(F.lit(k).alias("name"), F.col(f"_f.{k}").alias("v")) for k in _WANTED])
     fields = F.transform(pairs, lambda e: F.struct(e["name"], e["v"], F.schema_of_variant(e["v"]).alias("kind")))
-    raw = compute_once(raw, _fields=fields).drop("_f")
+    raw = compute_once(raw, _fields=F.when(F.col("_slow"), fields)).drop("_f")
     f = F.col("_fields")
 
     def read(value, *names: str) -> Column:
-        return F.transform(
+        found = F.transform(
             _named(f, *names), lambda e: F.struct(e["name"], e["kind"], value(e["v"], e["kind"]).alias("value"))
         )
+        return F.when(F.col("_slow"), found)
 
     text = lambda v, kind: F.when(kind == "STRING", F.try_variant_get(v, "$", "string"))
     return compute_once(
@@ -170,7 +228,7 @@ def validate(decoded: DataFrame, data: str = "data") -> DataFrame:
 
     Rows without a usable id keep null ``problems``.
     """
-    probed = _probe(decoded)
+    probed = _probe(_read_plain(decoded))
     f = F.col("_fields")
     ints, texts, uuids, times, flag = (F.col(c) for c in ("_ints", "_texts", "_uuids", "_times", "_flags"))
     flag = flag[0]
@@ -226,7 +284,12 @@ def validate(decoded: DataFrame, data: str = "data") -> DataFrame:
     values |= {"started_at": started["at"], "completed_at": completed["at"]}
     values["raw_metadata"] = F.when(metadata["kind"].startswith("OBJECT"), metadata["v"])
     event = F.struct(*[values[c].alias(c) for c in S.EVENT_COLUMNS])
-    checked = compute_once(probed, event=event, problems=F.when(F.col("id").isNotNull(), problems))
+    slow, none = F.col("_slow"), F.array().cast("array<string>")
+    checked = compute_once(
+        probed,
+        event=F.when(slow, event).otherwise(F.col("_event")),
+        problems=F.when(slow, problems).when(F.col("id").isNotNull(), none),
+    )
     return checked.select(*decoded.columns, "event", "problems")
 
 

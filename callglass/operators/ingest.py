@@ -65,21 +65,43 @@ def dead_letters(checked: DataFrame) -> DataFrame:
     return checked.where(F.col("reason").isNotNull()).select("delivery_id", "data", "reason")
 
 
-def outcome_counts(checked: DataFrame, inserted: DataFrame) -> DataFrame:
+def outcome_counts(checked: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Counters of a batch. Malformed deliveries never count as received.
 
-    A valid delivery that is not inserted is a duplicate, so no join back is needed.
+    Counted per id first (combining map-side), then summed: of the valid deliveries
+    of an id, one is inserted unless the id is ``known``, the others are duplicates.
     """
-    received = F.coalesce(F.col("reason") != S.REASON_MALFORMED, F.lit(True))
-    counted = checked.select("reason").agg(
+    reason = F.col("reason")
+    received = F.coalesce(reason != S.REASON_MALFORMED, F.lit(True))
+    per_id = checked.groupBy("id").agg(
         F.count_if(received).alias("received"),
-        F.count_if(F.col("reason").isNull()).alias("_valid"),
-        F.count_if(received & F.col("reason").isNotNull()).alias("rejected"),
+        F.count_if(reason.isNull()).alias("valid"),
+        F.count_if(received & reason.isNotNull()).alias("rejected"),
     )
-    both = counted.unionByName(inserted.agg(F.count(F.lit(1)).alias("inserted")), allowMissingColumns=True)
-    one = both.agg(*[F.max(c).alias(c) for c in ("received", "inserted", "_valid", "rejected")])
-    return one.select(
-        "received", "inserted", (F.col("_valid") - F.col("inserted")).alias("duplicates"), "rejected"
+    new = F.col("valid") > 0
+    if known is not None:
+        per_id = per_id.join(known.select("id", F.lit(True).alias("_known")), "id", "left")
+        new = new & F.col("_known").isNull()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return per_id.agg(
+        total("received").alias("received"), F.count_if(new).alias("inserted"),
+        (total("valid") - F.count_if(new)).alias("duplicates"), total("rejected").alias("rejected"),
+    )
+
+
+def state_of(checked: DataFrame) -> DataFrame:
+    """Raw rows of one batch with their state, in one pass and one shuffle."""
+    tried = checked.where(F.col("id").isNotNull()).withColumn("_ok", F.col("reason").isNull())
+    error = F.substring(F.array_join("problems", "; "), 1, S.MAX_PROCESSING_ERROR_CHARS)
+    first = F.struct("delivery_id", contract.event_type().alias("event_type"), F.col("data").alias("payload"))
+    last = F.struct("delivery_id", "_ok", F.when(~F.col("_ok"), error).alias("error"))
+    grouped = tried.select("id", first.alias("_first"), last.alias("_last")).groupBy("id").agg(
+        F.min("_first").alias("_first"), F.max("_last").alias("_last")
+    )
+    return grouped.select(
+        "id", "_first.*",
+        F.when(F.col("_last._ok"), "processed").otherwise("failed").alias("processing_status"),
+        F.col("_last.error").alias("processing_error"),
     )
 
 
@@ -115,7 +137,7 @@ def land(checked: DataFrame, known_raw: DataFrame | None = None, known_logs: Dat
         raw = not_stored(raw, known_raw)
     if known_logs is not None:
         logs = not_stored(logs, known_logs)
-    return Landing(raw, logs, attempts(checked), dead_letters(checked), outcome_counts(checked, logs))
+    return Landing(raw, logs, attempts(checked), dead_letters(checked), outcome_counts(checked, known_logs))
 
 
 def replay(failed: DataFrame, repair=None, check_with=check) -> DataFrame:

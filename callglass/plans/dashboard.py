@@ -38,8 +38,7 @@ from fx_logs where completed_at >= timestamp '{START}' group by 1""")
 
 
 def raw_state_of(g: Given):
-    checked = ingest.check(g.envelopes)
-    return ingest.raw_state(ingest.raw_rows(checked), ingest.attempts(checked), ["delivery_id"])
+    return ingest.state_of(ingest.check(g.envelopes))
 
 
 def health_of(g: Given):

@@ -22,8 +22,13 @@ def checked(g: Given):
 
 
 def outcomes(g: Given):
+    return ingest.outcome_counts(checked(g))
+
+
+def landed_state(g: Given):
+    """The two landing tables joined, as the stored form is read."""
     c = checked(g)
-    return ingest.outcome_counts(c, ingest.log_rows(c))
+    return ingest.raw_state(ingest.raw_rows(c), ingest.attempts(c), ["delivery_id"])
 
 
 def rows(logs):
@@ -123,7 +128,7 @@ where id in (select id from fx_deliveries where reason is null)"""),
     ),
     Query(
         "raw_state",
-        lambda g: raw_state_of(g).select("id", "event_type", "delivery_id", "processing_status", "processing_error"),
+        lambda g: landed_state(g).select("id", "event_type", "delivery_id", "processing_status", "processing_error"),
         with_views("fx_deliveries", sql=f"""select id, 'inference.completed' as event_type, min(delivery_id) as delivery_id,
   arg_max(case when reason is null then 'processed' else 'failed' end, delivery_id) as processing_status,
   any_value(problem) as processing_error from fx_deliveries where {USABLE} group by id"""),
@@ -131,7 +136,7 @@ where id in (select id from fx_deliveries where reason is null)"""),
     Query(
         "replayed_logs",
         replayed,
-        with_views("fx_logs", sql=f"select {ROW}, raw_metadata_json as raw_metadata from fx_logs where k % 50 = 5 and status = 'error'"),
+        with_views("fx_logs", sql=f"select {ROW}, raw_metadata_json as raw_metadata from (select * replace ('error' as status) from fx_logs where k % 50 = 5 and status <> 'success') r"),
     ),
     Query("published_envelopes", published_back, with_views("fx_logs", sql=f"select {ROW}, raw_metadata_json as raw_metadata from fx_logs")),
     Query(
