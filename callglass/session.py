@@ -54,7 +54,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Mark ``df`` for broadcast when a count shows at most ``max_rows`` rows.
 
     The count stops after ``max_rows + 1`` rows. A larger frame is returned as it

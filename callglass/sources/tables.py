@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callglass import schema as S
+from callglass.operators import ingest
 
 _BATCH = T.StructField("batch_id", T.LongType())
 
@@ -107,10 +108,10 @@ class Store:
             .parquet(self.path(name))
         )
 
-    def raw_state(self) -> DataFrame:
-        from callglass.operators import ingest
-
-        return ingest.raw_state(self.read("raw"), self.read("attempts"), ["batch_id", "delivery_id"])
+    def raw_state(self, before_batch: int | None = None) -> DataFrame:
+        """Raw events with the outcome of their latest attempt."""
+        raw = self.read("raw", before_batch).drop("batch_id")
+        return ingest.raw_state(raw, self.read("attempts", before_batch), ["batch_id", "delivery_id"])
 
 
 def rewrite_sorted(logs: DataFrame, target: str, max_records_per_file: int = 5_000_000) -> None:

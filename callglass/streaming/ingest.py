@@ -59,5 +59,5 @@ def replay_failed(store: Store, batch_id: int, repair=None, check_with=ingest.ch
 
     ``batch_id`` must be above every batch so far; the stream is stopped meanwhile.
     """
-    failed = store.raw_state().where(F.col("processing_status") == "failed")
+    failed = store.raw_state(batch_id).where(F.col("processing_status") == "failed")
     write_batch(store, failed, batch_id, lambda rows: ingest.replay(rows, repair, check_with))
