@@ -19,11 +19,14 @@ def positions(
     block: Column,
     name: str = "position",
     descending_blocks: bool = False,
+    start: DataFrame | None = None,
 ) -> DataFrame:
     """1-based row number within ``keys``, equal to a plain ``row_number``.
 
     ``block`` must not change direction along ``order``: with whole numbers it is
-    the number divided by a block length, with times the truncated time.
+    the number divided by a block length, with times the truncated time. ``start``
+    (``keys`` and a column ``start``) is added to the numbers of its key; it is joined
+    to the block summaries, so the rows themselves never gather by key.
     """
     df = df.withColumn("_block", block)
     by_block = F.col("_block").desc() if descending_blocks else F.col("_block").asc()
@@ -33,6 +36,10 @@ def positions(
         .agg(F.count(F.lit(1)).alias("_n"))
         .select(*keys, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     )
+    if start is not None:
+        offsets = offsets.join(start, keys, "left").select(
+            *keys, "_block", (F.col("_before") + F.coalesce("start", F.lit(0))).alias("_before")
+        )
     inside = F.row_number().over(W.partitionBy(*keys, "_block").orderBy(*order))
     return (
         df.withColumn("_inside", inside)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callglass import schema as S
-from callglass.functions.frames import compute_once
+from callglass.functions.frames import built_once, once
 
 # Words read as a flag, and the limit between epoch seconds and milliseconds.
 TRUE_WORDS = ("1", "on", "t", "true", "y", "yes")
@@ -53,15 +53,19 @@ def canonical_uuid(text: Column) -> Column:
     )
 
 
+@built_once
+def _decode_steps(data: str) -> list[Column]:
+    raw_id = F.try_variant_get("doc", "$.id", "variant")
+    text = F.when(F.schema_of_variant(raw_id) == "STRING", F.try_variant_get("doc", "$.id", "string"))
+    dead = F.when(F.col("doc").isNull(), S.REASON_MALFORMED).when(F.col("id").isNull(), S.REASON_NO_ID)
+    return [once(doc=F.try_parse_json(data)), once(id=canonical_uuid(text)), dead.alias("dead_reason")]
+
+
 def decode(envelopes: DataFrame, data: str = "data") -> DataFrame:
     """Adds the parsed document, the event id and the transport-level ``dead_reason``."""
-    out = compute_once(envelopes, doc=F.try_parse_json(data))
-    raw_id = F.try_variant_get("doc", "$.id", "variant")
-    id_ = canonical_uuid(F.when(F.schema_of_variant(raw_id) == "STRING", F.try_variant_get("doc", "$.id", "string")))
-    out = compute_once(out, id=id_)
-    return out.withColumn(
-        "dead_reason", F.when(F.col("doc").isNull(), S.REASON_MALFORMED).when(F.col("id").isNull(), S.REASON_NO_ID)
-    )
+    for step in _decode_steps(data):
+        envelopes = envelopes.select("*", step)
+    return envelopes
 
 
 def event_type(doc: str = "doc") -> Column:
@@ -158,16 +162,14 @@ def _plain_shape() -> str:
     return "^OBJECT<" + "".join(parts).removeprefix(", ") + ">$"
 
 
-def _read_plain(decoded: DataFrame) -> DataFrame:
-    """Adds ``_event``, the typed row of a plain valid event, and ``_slow`` for any other row with an id."""
+@built_once
+def _plain_steps() -> list[Column]:
+    """Give ``_event``, the typed row of a plain valid event, and ``_slow`` for any other row with an id."""
     types = {k: "bigint" for k in _INT_FIELDS} | {"streamed": "boolean", "raw_metadata": "variant"}
     shape = ", ".join(f"{k} {types.get(k, 'string')}" for k in _WANTED)
     plain = F.col("id").isNotNull() & F.schema_of_variant("doc").rlike(_plain_shape())
-    seen = compute_once(decoded, _p=F.when(plain, F.try_variant_get("doc", "$", f"struct<{shape}>")))
-    seen = compute_once(
-        seen, **{f"_{k}": F.when(F.col(f"_p.{k}").rlike(_PLAIN_TIME), F.col(f"_p.{k}").try_cast("timestamp")) for k in _TIME_FIELDS}
-    )
     p = lambda k: F.col(f"_p.{k}")
+    times = {f"_{k}": F.when(p(k).rlike(_PLAIN_TIME), p(k).try_cast("timestamp")) for k in _TIME_FIELDS}
     optional = lambda k, good: p(k).isNull() | good
     ok = [
         F.col("_p").isNotNull(),
@@ -183,27 +185,28 @@ def _read_plain(decoded: DataFrame) -> DataFrame:
     all_ok = ok[0]
     for c in ok[1:]:
         all_ok = all_ok & c
-    seen = compute_once(seen, _slow=F.col("id").isNotNull() & ~F.coalesce(all_ok, F.lit(False)))
     values = {"id": F.col("id")} | {k: p(k) for k in _WANTED} | {k: F.col(f"_{k}") for k in _TIME_FIELDS}
     values |= {k: p(k).try_cast("int") for k in _INT_FIELDS}
     values["schema_version"] = F.coalesce(values["schema_version"], F.lit(S.SCHEMA_VERSION))
     values["streamed"] = F.coalesce(p("streamed"), F.lit(False))
     event = F.struct(*[values[c].alias(c) for c in S.EVENT_COLUMNS])
-    return seen.select(*decoded.columns, "_slow", F.when(F.col("_p").isNotNull() & ~F.col("_slow"), event).alias("_event"))
+    return [
+        once(_p=F.when(plain, F.try_variant_get("doc", "$", f"struct<{shape}>"))),
+        once(**times),
+        once(_slow=F.col("id").isNotNull() & ~F.coalesce(all_ok, F.lit(False))),
+        F.when(F.col("_p").isNotNull() & ~F.col("_slow"), event).alias("_event"),
+    ]
 
 
-def _probe(decoded: DataFrame) -> DataFrame:
-    """Adds, for slow rows, each field's raw value and JSON kind, then the values read by type.
+@built_once
+def _probe_steps() -> list[Column]:
+    """Give, for slow rows, each field's raw value and JSON kind, then the values read by type.
 
     Fields of one type go through one ``transform``, which keeps the generated code small.
     """
     shape = ", ".join(f"{k} variant" for k in _WANTED)
-    raw = compute_once(
-        decoded, _f=F.when(F.col("_slow"), F.try_variant_get("doc", "$", f"struct<{shape}>"))
-    )
     pairs = F.array(*[F.struct(F.lit(k).alias("name"), F.col(f"_f.{k}").alias("v")) for k in _WANTED])
     fields = F.transform(pairs, lambda e: F.struct(e["name"], e["v"], F.schema_of_variant(e["v"]).alias("kind")))
-    raw = compute_once(raw, _fields=F.when(F.col("_slow"), fields)).drop("_f")
     f = F.col("_fields")
 
     def read(value, *names: str) -> Column:
@@ -213,22 +216,23 @@ def _probe(decoded: DataFrame) -> DataFrame:
         return F.when(F.col("_slow"), found)
 
     text = lambda v, kind: F.when(kind == "STRING", F.try_variant_get(v, "$", "string"))
-    return compute_once(
-        raw,
+    typed = once(
         _ints=read(_as_long, *_INT_FIELDS),
         _texts=read(text, *_TEXT_FIELDS),
         _uuids=read(lambda v, kind: canonical_uuid(text(v, kind)), *_UUID_FIELDS),
         _times=read(_as_time, *_TIME_FIELDS),
         _flags=read(_as_flag, "streamed"),
     )
+    return [
+        once(_f=F.when(F.col("_slow"), F.try_variant_get("doc", "$", f"struct<{shape}>"))),
+        once(_fields=F.when(F.col("_slow"), fields)),
+        typed,
+    ]
 
 
-def validate(decoded: DataFrame, data: str = "data") -> DataFrame:
-    """Adds ``event`` (the typed row) and ``problems`` (empty when the event is valid).
-
-    Rows without a usable id keep null ``problems``.
-    """
-    probed = _probe(_read_plain(decoded))
+@built_once
+def _verdict(data: str) -> Column:
+    """Gives ``event`` and ``problems`` from what the plain and the lenient reading found."""
     f = F.col("_fields")
     ints, texts, uuids, times, flag = (F.col(c) for c in ("_ints", "_texts", "_uuids", "_times", "_flags"))
     flag = flag[0]
@@ -285,11 +289,20 @@ def validate(decoded: DataFrame, data: str = "data") -> DataFrame:
     values["raw_metadata"] = F.when(metadata["kind"].startswith("OBJECT"), metadata["v"])
     event = F.struct(*[values[c].alias(c) for c in S.EVENT_COLUMNS])
     slow, none = F.col("_slow"), F.array().cast("array<string>")
-    checked = compute_once(
-        probed,
+    return once(
         event=F.when(slow, event).otherwise(F.col("_event")),
         problems=F.when(slow, problems).when(F.col("id").isNotNull(), none),
     )
+
+
+def validate(decoded: DataFrame, data: str = "data") -> DataFrame:
+    """Adds ``event`` (the typed row) and ``problems`` (empty when the event is valid).
+
+    Rows without a usable id keep null ``problems``.
+    """
+    checked = decoded
+    for step in (*_plain_steps(), *_probe_steps(), _verdict(data)):
+        checked = checked.select("*", step)
     return checked.select(*decoded.columns, "event", "problems")
 
 

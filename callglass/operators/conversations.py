@@ -39,15 +39,10 @@ def append(messages: DataFrame, arrivals: DataFrame, order: str = "arrival_no")
     ``order`` is a whole number, unique per conversation.
     """
     numbered = positions(
-        arrivals, ["conversation_id"], [F.col(order)], F.floor(F.col(order) / F.lit(BLOCK)), "_position"
-    )
-    current = next_seq(messages)
-    seq = F.coalesce("next_seq", F.lit(0)) + F.col("_position") - 1
-    return (
-        numbered.join(current, "conversation_id", "left")
-        .withColumn("seq", seq.cast("int"))
-        .drop("next_seq", "_position", order)
+        arrivals, ["conversation_id"], [F.col(order)], F.floor(F.col(order) / F.lit(BLOCK)), "_position",
+        start=next_seq(messages).withColumnRenamed("next_seq", "start"),
     )
+    return numbered.withColumn("seq", (F.col("_position") - 1).cast("int")).drop("_position", order)
 
 
 def summaries(messages: DataFrame, conversations: DataFrame | None = None) -> DataFrame:

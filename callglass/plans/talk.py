@@ -90,7 +90,7 @@ from fx_logs l left join n using (conversation_id) where l.conversation_id is no
         with_views("fx_messages", sql=f", {SUMMARY} select m.*, title, status from fx_messages m join summaries using (conversation_id)"),
     ),
     Query(
-        "clipped_transcript",
+        "one_transcript",
         lambda g: C.transcript(g.messages, "00000000-0000-4000-9000-000000000003"),
         with_views("fx_messages", sql="select * from fx_messages where conversation_id = '00000000-0000-4000-9000-000000000003'"),
     ),

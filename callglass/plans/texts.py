@@ -27,13 +27,13 @@ TITLE = f"""coalesce(nullif(substr(replace(regexp_replace(content, '^{RE2_SPACE}
 QUERIES = [
     Query(
         "redacted_previews",
-        lambda g: g.table("documents").select("doc_id", X.preview(F.col("text")).alias("preview")),
+        lambda g: g.documents.select("doc_id", X.preview(F.col("text")).alias("preview")),
         f"""select doc_id, {redacted_sql("case when length(text) > 500 then concat(substr(text, 1, 500), '…') else text end")} as preview
 from documents""",
     ),
     # Whole texts: the SQL engine's patterns know ASCII classes only, so a Python model checks this one in the tests.
-    Query("redacted_documents", lambda g: g.table("documents").select("doc_id", X.redact(F.col("text")).alias("redacted"))),
-    Query("redaction_counts", lambda g: X.rule_hits(g.table("documents"), "text", keys=("lang",))),
+    Query("redacted_documents", lambda g: g.documents.select("doc_id", X.redact(F.col("text")).alias("redacted"))),
+    Query("redaction_counts", lambda g: X.rule_hits(g.documents, "text", keys=("lang",))),
     Query(
         "titles",
         lambda g: C.summaries(g.messages, g.conversations).select("conversation_id", "title"),
@@ -42,12 +42,12 @@ from documents""",
     ),
     Query(
         "document_titles",
-        lambda g: g.table("documents").select("doc_id", X.title(F.col("text")).alias("title")),
+        lambda g: g.documents.select("doc_id", X.title(F.col("text")).alias("title")),
         f"select doc_id, {TITLE.replace('content', 'text')} as title from documents",
     ),
     Query(
         "token_estimate",
-        lambda g: g.table("documents").select("doc_id", X.token_estimate(F.col("text")).alias("tokens")),
+        lambda g: g.documents.select("doc_id", X.token_estimate(F.col("text")).alias("tokens")),
         f"""select doc_id, cast(len(list_filter(regexp_split_to_array(text, '{RE2_SPACE}+'), lambda w: w <> '')) as integer) as tokens
 from documents""",
     ),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callglass import schema as S
-from callglass.functions.frames import compute_once
+from callglass.functions.frames import compute_once, spread
 from callglass.operators import contract
 from callglass.session import configure
 
@@ -169,7 +169,11 @@ class Given:
 
     @cached_property
     def envelopes(self) -> DataFrame:
-        return envelopes_from(self.logs)
+        return envelopes_from(logs_from(spread(self.table("events"), "event_id")))
+
+    @cached_property
+    def documents(self) -> DataFrame:
+        return spread(self.table("documents").select("doc_id", "text", "lang"), "doc_id")
 
     @cached_property
     def chunks(self) -> DataFrame:

@@ -27,15 +27,12 @@ def newest(rows: DataFrame, keep: int, order: str = "delivery_id", block: int =
     cut = top.withColumn("newer", newer).where(F.col("newer") < keep).agg(
         F.min(F.struct("block", (F.lit(keep) - F.col("newer")).alias("want"))).alias("at")
     )
-    spark = rows.sparkSession
-    found = spark.sql("select at.block as block, at.want as want from {cut}", cut=cut)
-    own = F.floor(F.col(order) / F.lit(block))
-    edge_block = found.select("block").scalar()
-    want = found.select("want").scalar()
-    above = rows.where(own > edge_block)
+    at = cut.scalar()
+    first = at["block"] * F.lit(block)
+    above = rows.where(F.col(order) >= first + F.lit(block))
     rank = F.row_number().over(W.orderBy(F.desc(order)))
-    edge = rows.where(own == edge_block).withColumn("_rank", rank).where(F.col("_rank") <= want).drop("_rank")
-    return above.unionByName(edge)
+    edge = rows.where((F.col(order) >= first) & (F.col(order) < first + F.lit(block))).withColumn("_rank", rank)
+    return above.unionByName(edge.where(F.col("_rank") <= at["want"]).drop("_rank"))
 
 
 def younger_than(rows: DataFrame, time: str, as_of: datetime | str, days: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from callglass.functions.frames import spread
 from callglass.operators import ingest
 from callglass.session import broadcast_if_small, configure
 from callglass.sources.tables import Store
@@ -20,7 +21,7 @@ def write_batch(store: Store, envelopes: DataFrame, batch_id: int, check_with=in
     batches before this one count as stored. The checkpoint moves on after the last
     write, so a crash anywhere leads to a repeat.
     """
-    checked = check_with(envelopes).persist(StorageLevel.MEMORY_AND_DISK)
+    checked = check_with(spread(envelopes, "delivery_id")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         ids = checked.where(F.col("id").isNotNull()).select("id").distinct().persist(StorageLevel.MEMORY_AND_DISK)
         small = broadcast_if_small(ids)
