@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from callglass.functions.frames import spread
 from callglass.operators import ingest
-from callglass.session import broadcast_if_small, configure
+from callglass.session import broadcast_if_small, configure, scratch_path
 from callglass.sources.tables import Store
 
 
@@ -19,7 +19,8 @@ def write_batch(store: Store, envelopes: DataFrame, batch_id: int, check_with=in
     The batch is checked once and kept; the ids it holds, narrow and bounded by the
     trigger, find what is already stored without shuffling the stored tables. Only
     batches before this one count as stored. The checkpoint moves on after the last
-    write, so a crash anywhere leads to a repeat.
+    write, so a crash anywhere leads to a repeat. Only frames that do not read the
+    tables are kept in memory: a write refreshes whatever is kept of its own path.
     """
     checked = check_with(spread(envelopes, "delivery_id")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -58,7 +59,11 @@ def start(
 def replay_failed(store: Store, batch_id: int, repair=None, check_with=ingest.check) -> None:
     """Runs failed raw events through a fixed contract, as a batch of its own.
 
-    ``batch_id`` must be above every batch so far; the stream is stopped meanwhile.
+    ``batch_id`` must be above every batch so far; the stream is stopped meanwhile. The
+    failed events are written out first, so that the batch does not read the tables it fills.
     """
+    path = scratch_path(store.spark, "replay")
     failed = store.raw_state(batch_id).where(F.col("processing_status") == "failed")
-    write_batch(store, failed, batch_id, lambda rows: ingest.replay(rows, repair, check_with))
+    failed.select("delivery_id", "payload").write.parquet(path)
+    rows = store.spark.read.schema("delivery_id long, payload string").parquet(path)
+    write_batch(store, rows, batch_id, lambda again: ingest.replay(again, repair, check_with))
