@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from callglass.operators import ingest, metrics
 from callglass.plans.registry import AS_OF, NEVER, SINCE, START, Query
 from callglass.sources.given import Given, with_views

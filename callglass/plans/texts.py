@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from callglass.functions import text as X
 from callglass.operators import conversations as C
 from callglass.plans.registry import Query
-from callglass.sources.given import Given, with_views
+from callglass.sources.given import with_views
 
 
 def sql_text(value: str) -> str:
@@ -20,7 +20,6 @@ def redacted_sql(column: str) -> str:
     return column
 
 
-SPACE = r"[\s\x1c-\x1f\x85\xa0  -     　]"
 RE2_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 TITLE = f"""coalesce(nullif(substr(replace(regexp_replace(content, '^{RE2_SPACE}+|{RE2_SPACE}+$', '', 'g'), chr(10), ' '), 1, 60), ''), 'New conversation')"""
 

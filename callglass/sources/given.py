@@ -12,7 +12,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callglass import schema as S
 from callglass.functions.frames import compute_once, spread
 from callglass.operators import contract
 from callglass.session import configure

@@ -2,7 +2,7 @@ import json
 from datetime import datetime
 
 import pytest
-from conftest import CALL, ID, checked, event
+from conftest import ID, checked, event
 from pyspark.sql import functions as F
 
 from callglass.operators import contract, ingest
