@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callglass.llm import hilbert
+from callglass.llm import hilbert, repeats
 from callglass.session import configure
 
 
@@ -18,8 +18,13 @@ def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.documents_in_shards(table(spark, sf_dir, "documents"))
 
 
+def op4_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1_hilbert_shards,
+    "op4_repeated_windows": op4_repeated_windows,
 }
 
 SQL: dict[str, str] = {}
