@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callglass.llm import hilbert, repeats
+from callglass.llm import hilbert, jaccard_trie, repeats
 from callglass.session import configure
 
 
@@ -18,12 +18,17 @@ def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.documents_in_shards(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_trie.joined(table(spark, sf_dir, "documents"), size=3, similarity=(9, 10))
+
+
 def op4_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1_hilbert_shards,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_repeated_windows": op4_repeated_windows,
 }
 
