@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callglass.llm import hilbert, jaccard_trie, repeats, tiling
+from callglass.llm import hilbert, jaccard_trie, languages, repeats, tiling
 from callglass.session import configure
 
 
@@ -26,6 +26,10 @@ def op4_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_language_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.identified(table(spark, sf_dir, "documents"))
+
+
 def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -34,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_repeated_windows": op4_repeated_windows,
+    "op6_language_mixtures": op6_language_mixtures,
     "op10_string_tiling": op10_string_tiling,
 }
 
