@@ -137,9 +137,11 @@ def learned(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Machin
     own = mapped(rows, lambda x: chosen(x, sent.value), "doc_id long, toxic int, terms array<int>")
     parts = [own.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("terms")).limit(SAMPLE).collect() for k in (0, 1)]
     sample = [r for p in parts for r in p]
+    machine = Machine(len(vocabulary), float(np.log(ones / zeros)))
+    if not parts[0] or not parts[1]:  # labels of one kind have no texts
+        return vocabulary, machine
     label = np.array([r["toxic"] for r in sample], float)
     importance = np.where(label == 1, ones / max(1, len(parts[1])), zeros / max(1, len(parts[0])))
-    machine = Machine(len(vocabulary), float(np.log(ones / zeros)))
     machine.fit([list(r["terms"]) for r in sample], label, importance / importance.min())
     return vocabulary, machine
 
