@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callglass.llm import hilbert, jaccard_trie, languages, repeats, tiling, toxicity
+from callglass.llm import hilbert, jaccard_trie, languages, page_text, repeats, tiling, toxicity
 from callglass.session import configure
 
 
@@ -30,6 +30,10 @@ def op6_language_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identified(table(spark, sf_dir, "documents"))
 
 
+def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_repeated_windows": op4_repeated_windows,
     "op6_language_mixtures": op6_language_mixtures,
+    "op8_page_text": op8_page_text,
     "op9_toxicity": op9_toxicity,
     "op10_string_tiling": op10_string_tiling,
 }
