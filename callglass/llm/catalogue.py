@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callglass.llm import hilbert, jaccard_trie, languages, page_text, repeats, tiling, toxicity
+from callglass.llm import hilbert, jaccard_trie, languages, near_vectors, page_text, repeats, tiling, toxicity
 from callglass.session import configure
 
 
@@ -26,6 +26,10 @@ def op4_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_language_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identified(table(spark, sf_dir, "documents"))
 
@@ -46,10 +50,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_repeated_windows": op4_repeated_windows,
+    "op5_near_vectors": op5_near_vectors,
     "op6_language_mixtures": op6_language_mixtures,
     "op8_page_text": op8_page_text,
     "op9_toxicity": op9_toxicity,
     "op10_string_tiling": op10_string_tiling,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_near_vectors": near_vectors.SQL}
