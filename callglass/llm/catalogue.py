@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callglass.llm import hilbert, jaccard_trie, languages, near_vectors, page_text, repeats, tiling, toxicity
+from callglass.llm import hilbert, jaccard_trie, languages, near_vectors, page_text, pieces, repeats, tiling, toxicity
 from callglass.session import configure
 
 
@@ -18,6 +18,10 @@ def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.documents_in_shards(table(spark, sf_dir, "documents"))
 
 
+def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_trie.joined(table(spark, sf_dir, "documents"), size=3, similarity=(9, 10))
 
@@ -48,6 +52,7 @@ def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1_hilbert_shards,
+    "op2_sentence_pieces": op2_sentence_pieces,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_repeated_windows": op4_repeated_windows,
     "op5_near_vectors": op5_near_vectors,
