@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callglass.llm import hilbert, jaccard_trie, languages, near_vectors, page_text, pieces, repeats, tiling, toxicity
+import corpus_pipeline
+from callglass.llm import hilbert, jaccard_trie, languages, near_vectors, page_text, pieces, repeats, tiling, token_trees, toxicity
 from callglass.session import configure
 
 
@@ -38,6 +39,10 @@ def op6_language_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identified(table(spark, sf_dir, "documents"))
 
 
+def op7_token_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_trees.scrubbed_counts(table(spark, sf_dir, "documents"))
+
+
 def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.main_texts(table(spark, sf_dir, "pages"))
 
@@ -57,9 +62,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_repeated_windows": op4_repeated_windows,
     "op5_near_vectors": op5_near_vectors,
     "op6_language_mixtures": op6_language_mixtures,
+    "op7_token_trees": op7_token_trees,
     "op8_page_text": op8_page_text,
     "op9_toxicity": op9_toxicity,
     "op10_string_tiling": op10_string_tiling,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {"op5_near_vectors": near_vectors.SQL}
