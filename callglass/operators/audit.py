@@ -36,6 +36,28 @@ MESSAGE_RULES: Rules = {
     "conversation_id_not_null": "conversation_id is null",
     "seq_not_null": "seq is null",
     "content_not_null": "content is null",
+    "role_not_null": "role is null",
+    "created_at_not_null": "created_at is null",
+}
+
+CONVERSATION_RULES: Rules = {
+    "status_domain": one_of("status", S.CONVERSATION_STATUSES),
+    **{f"{c}_not_null": f"{c} is null" for c in ("conversation_id", "status", "created_at", "updated_at")},
+    "updated_after_created": "updated_at < created_at",
+}
+
+RAW_RULES: Rules = {
+    "processing_status_domain": one_of("processing_status", S.PROCESSING_STATUSES),
+    "event_type_length": f"length(event_type) > {S.MAX_EVENT_TYPE_CHARS}",
+    **{f"{c}_not_null": f"{c} is null" for c in ("id", "event_type", "payload", "processing_status")},
+    "failed_has_error": "processing_status = 'failed' and processing_error is null",
+    "processed_has_no_error": "processing_status = 'processed' and processing_error is not null",
+}
+
+DEAD_LETTER_RULES: Rules = {
+    "reason_domain": one_of("reason", (S.REASON_MALFORMED, S.REASON_NO_ID, S.REASON_INVALID)),
+    "reason_not_null": "reason is null",
+    "delivery_id_not_null": "delivery_id is null",
 }
 
 

@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from callglass import schema as S
 
-CATALOG_SCHEMA = (
-    "provider string, default_model string, max_output_tokens int, closed_models array<string>, configured boolean"
-)
-
 # Default models, the one output cap, and the one closed set of models.
 DEFAULT_CATALOG = (
     ("mock", "mock", None, ["mock", "mock-slow", "mock-error", "mock-instant", "mock-cancel"], True),
@@ -24,8 +20,14 @@ FALLBACK_PROVIDER = "mock"
 
 
 def default_catalog(spark: SparkSession, configured: tuple[str, ...] = ("mock",)) -> DataFrame:
-    rows = [(p, m, cap, closed, p in configured) for p, m, cap, closed, _ in DEFAULT_CATALOG]
-    return spark.createDataFrame(rows, CATALOG_SCHEMA)
+    """The catalogue as literal rows: their size is known, so joins with it shuffle nothing."""
+    text = lambda v: "null" if v is None else "'" + v.replace("'", "''") + "'"
+    rows = [
+        f"({text(p)}, {text(m)}, cast({'null' if cap is None else cap} as int), "
+        f"{'cast(null as array<string>)' if closed is None else 'array(' + ', '.join(map(text, closed)) + ')'}, {str(p in configured).lower()})"
+        for p, m, cap, closed, _ in DEFAULT_CATALOG
+    ]
+    return spark.sql(f"select * from values {', '.join(rows)} as t(provider, default_model, max_output_tokens, closed_models, configured)")
 
 
 def default_provider(catalog: DataFrame, wanted: str = FALLBACK_PROVIDER) -> str:

@@ -13,10 +13,8 @@ from pyspark.sql import functions as F
 from callglass.functions import text as X
 from callglass.functions.frames import compute_once
 
-#: Chunks per run, and runs whose text is joined into one value. A longer call
-#: (16 million chunks and more) keeps its text in the rows of ``fold_runs``.
+#: Chunks per run.
 RUN = 1024
-MAX_RUNS = 16_384
 
 _LATEST = ("input_tokens", "output_tokens", "finish_reason")
 
@@ -86,6 +84,8 @@ def _run_measures() -> list[Column]:
         F.array_join(F.transform(ordered, lambda c: c["delta_text"]), "").alias("text"),
         F.min(F.when(F.length("delta_text") > 0, F.col("emitted_at"))).alias("first_text_at"),
         F.max("emitted_at").alias("last_at"),
+        F.max("chunk_no").alias("last_chunk"),
+        F.collect_list(F.when(F.col("metadata_json").isNotNull(), F.struct("chunk_no", "metadata_json"))).alias("metadata"),
         F.max(F.when(has_usage, F.struct("chunk_no", "input_tokens", "output_tokens"))).alias("whole_usage"),
         *latest,
     ]
@@ -103,19 +103,22 @@ def fold_runs(chunks: DataFrame, run: int = RUN, *also: Column) -> DataFrame:
     return chunks.groupBy("call_id", run_of(run=run).alias("run"), *also).agg(*_run_measures())
 
 
-def fold_calls(runs: DataFrame, max_runs: int = MAX_RUNS) -> DataFrame:
-    """Second level: one row per call, each field from the last chunk that carried it."""
-    ordered = F.array_sort(
-        F.collect_list(F.when(F.col("run") < max_runs, F.struct("run", "first_chunk", "text")))
-    )
+def fold_calls(runs: DataFrame) -> DataFrame:
+    """Second level: one row per call, each field from the last chunk that carried it.
+
+    The text is the call's whole text; it is one value, as long as the call made it.
+    ``fold_runs`` has the same text in rows of bounded size.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("run", "first_chunk", "text")))
     text = F.array_join(F.transform(ordered, lambda r: r["text"]), "")
     return (
         runs.groupBy("call_id")
         .agg(
             F.sum("chunks").alias("chunks"),
-            F.when(F.max("run") < max_runs, text).alias("text"),
+            text.alias("text"),
             F.min("first_text_at").alias("first_text_at"),
             F.max("last_at").alias("last_at"),
+            F.max("last_chunk").alias("last_chunk"),
             *[F.max(c)[c].alias(c) for c in _LATEST],
             F.max("whole_usage").alias("_whole"),
         )
@@ -156,10 +159,30 @@ def finish(calls: DataFrame, folded: DataFrame, metadata: DataFrame | None = Non
         .withColumn("chunks", F.coalesce("chunks", F.lit(0)))
         .withColumn("ttft_ms", whole_ms(F.col("started_at"), F.col("first_text_at")))
         .withColumn("latency_ms", whole_ms(F.col("started_at"), F.col("ended_at")))
-        .drop("first_text_at", "last_at")
+        .drop("first_text_at", "last_at", "last_chunk")
     )
 
 
+def metadata_rows(runs: DataFrame) -> DataFrame:
+    """The metadata that the chunks of folded runs carried, as ``fold_metadata`` takes it."""
+    return runs.select("call_id", F.explode("metadata").alias("_m")).select("call_id", "_m.chunk_no", "_m.metadata_json")
+
+
+def whole_calls(runs: DataFrame, calls: DataFrame) -> DataFrame:
+    """Folded calls of which every chunk is among ``runs``, the closed runs of a chunk stream.
+
+    A run closes when the stream's clock has passed its last chunk; so the clock has passed
+    the end of every call that ended before the last chunk of any closed run. Such a call
+    can get no more chunks. It is whole if its chunks are numbered without a gap. Others
+    stay out until later.
+    """
+    passed = runs.agg(F.max("last_at").alias("_passed"))
+    ended = calls.join(F.broadcast(passed), F.col("ended_at") <= F.col("_passed")).drop("_passed")
+    folded = fold_calls(runs).where(F.col("chunks") == F.col("last_chunk") + 1)
+    done = finish(ended.join(folded.select("call_id"), "call_id", "left_semi"), folded, fold_metadata(metadata_rows(runs)))
+    return done
+
+
 def reply_messages(finished: DataFrame) -> DataFrame:
     """The assistant message each finished call leaves, if any.
 

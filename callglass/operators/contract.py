@@ -44,9 +44,15 @@ _LENGTHS = {
 }
 
 
+#: Microseconds of the first and last instant of the years 1 to 9999.
+EPOCH_MICROS = (-62_135_596_800_000_000, 253_402_300_799_999_999)
+#: Forms of an id that refers to another row: plain, hyphenated, in braces, as a URN.
+_STRICT_UUID = r"^(?:[0-9A-Fa-f]{32}|(?:urn:uuid:)?H|\{H\})$".replace("H", "[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+
+
 def canonical_uuid(text: Column) -> Column:
     """Lower-case 8-4-4-4-12 form of any accepted spelling; null when it is none."""
-    bare = F.regexp_replace(F.regexp_replace(F.lower(text), r"urn:|uuid:", ""), r"^[{}]+|[{}]+$|-", "")
+    bare = F.lower(F.regexp_replace(F.regexp_replace(text, r"urn:|uuid:", ""), r"^[{}]+|[{}]+$|-", ""))
     split = r"^(.{8})(.{4})(.{4})(.{4})(.{12})$"
     return F.when(text.rlike(_PLAIN_UUID), text).when(
         bare.rlike("^[0-9a-f]{32}$"), F.regexp_replace(bare, split, "$1-$2-$3-$4-$5")
@@ -124,7 +130,7 @@ def _as_time(value: Column, kind: Column) -> Column:
     number = F.when(_is(kind, "STRING"), text.try_cast("double")).otherwise(F.try_variant_get(value, "$", "double"))
     limit = F.lit(float(EPOCH_SECONDS_LIMIT))
     micros = F.when(F.abs(number) <= limit, number * 1e6).otherwise(number * 1e3)
-    epoch = F.when(F.abs(micros) < 2.5e17, F.timestamp_micros(F.rint(micros).cast("bigint")))
+    epoch = F.when(micros.between(*EPOCH_MICROS), F.timestamp_micros(F.rint(micros).cast("bigint")))
     is_epoch = _is(kind, "BIGINT") | _fractional(kind) | (_is(kind, "STRING") & text.rlike(_NUMBER))
     return (
         F.when(is_epoch, F.struct(epoch.alias("at"), F.lit(True).alias("zoned")))
@@ -219,7 +225,7 @@ def _probe_steps() -> list[Column]:
     typed = once(
         _ints=read(_as_long, *_INT_FIELDS),
         _texts=read(text, *_TEXT_FIELDS),
-        _uuids=read(lambda v, kind: canonical_uuid(text(v, kind)), *_UUID_FIELDS),
+        _uuids=read(lambda v, kind: F.when(text(v, kind).rlike(_STRICT_UUID), canonical_uuid(text(v, kind))), *_UUID_FIELDS),
         _times=read(_as_time, *_TIME_FIELDS),
         _flags=read(_as_flag, "streamed"),
     )

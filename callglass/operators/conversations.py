@@ -152,8 +152,7 @@ def prompt_window_per_turn(
     messages; a run also gets the ``max_messages - 1`` messages before it, so its
     windows are whole and one conversation spreads over many tasks.
     """
-    if block < max_messages:
-        raise ValueError("block must be at least max_messages")
+    block = max(block, max_messages)
     slim = messages.select("conversation_id", "seq", "role", F.length("content").alias("chars"))
     placed = positions(slim, ["conversation_id"], [F.col("seq")], F.floor(F.col("seq") / F.lit(block)), "_pos")
     own = F.floor((F.col("_pos") - 1) / F.lit(block))

@@ -141,8 +141,8 @@ def by_provider_and_total(calls: DataFrame) -> DataFrame:
 
 def window_presets(calls: DataFrame, as_of: datetime | str, presets: tuple = S.WINDOW_PRESETS) -> DataFrame:
     """Totals of every preset window in one job; a window without calls shows zeros."""
-    spark = calls.sparkSession
-    shown = spark.createDataFrame(list(presets), "preset string, minutes int, interval string")
+    rows = ", ".join(f"('{p}', {int(m)}, '{i}')" for p, m, i in presets)
+    shown = calls.sparkSession.sql(f"select * from values {rows} as t(preset, minutes, interval)")
     options = F.array(*[F.struct(F.lit(p).alias("preset"), window_start(as_of, m).alias("start")) for p, m, _ in presets])
     longest = max(m for _, m, _ in presets)
     tagged = (

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from callglass.operators import audit
+from callglass.operators import audit, ingest
+from callglass.plans.ingestion import USABLE, checked, landed_state
 from callglass.plans.registry import Query
 from callglass.sources.given import Given, with_views
 
@@ -21,6 +22,20 @@ def damaged(g: Given):
     )
 
 
+def odd_conversations(g: Given):
+    """Conversations, some with a status in capitals."""
+    return g.conversations.withColumn("status", F.when(F.col("conversation_id").endswith("7"), F.upper("status")).otherwise(F.col("status")))
+
+
+def odd_states(g: Given):
+    """Raw events with their state, some of them in a state that does not exist."""
+    return landed_state(g).withColumn("processing_status", F.when(F.col("delivery_id") % 11 == 0, "done").otherwise(F.col("processing_status")))
+
+
+def zero(rules, *but: str) -> str:
+    return ", ".join(repr(r) for r in rules if r not in but)
+
+
 ZERO = [r for r in audit.CALL_RULES if r not in (
     "latency_ms_non_negative", "completed_after_started", "status_domain", "provider_length", "ingested_at_not_null")]
 
@@ -40,7 +55,38 @@ union all select unnest([{', '.join(repr(z) for z in ZERO)}]), 0"""),
         lambda g: audit.violations(g.messages, audit.MESSAGE_RULES),
         with_views("fx_messages", sql="""select 'role_domain' as rule, count(*) filter (where role not in ('user', 'assistant', 'system')) as violations from fx_messages
 union all select 'content_length', count(*) filter (where length(content) not between 1 and 32000) from fx_messages
-union all select unnest(['conversation_id_not_null', 'seq_not_null', 'content_not_null']), 0"""),
+union all select unnest(['conversation_id_not_null', 'seq_not_null', 'content_not_null', 'role_not_null', 'created_at_not_null']), 0"""),
+    ),
+    Query(
+        "audit_conversations",
+        lambda g: audit.violations(odd_conversations(g), audit.CONVERSATION_RULES),
+        with_views("fx_messages", sql=f"""select 'status_domain' as rule, count(distinct conversation_id) as violations
+from fx_messages where conversation_id like '%7'
+union all select unnest([{zero(audit.CONVERSATION_RULES, "status_domain")}]), 0"""),
+    ),
+    Query(
+        "audit_raw",
+        lambda g: audit.violations(odd_states(g), audit.RAW_RULES),
+        with_views("fx_deliveries", sql=f"""select 'processing_status_domain' as rule, count(*) as violations
+from (select id, min(delivery_id) as d from fx_deliveries where {USABLE} group by id) r where d % 11 = 0
+union all select unnest([{zero(audit.RAW_RULES, "processing_status_domain")}]), 0"""),
+    ),
+    Query(
+        "audit_dead_letters",
+        lambda g: audit.violations(ingest.dead_letters(checked(g)).withColumn("reason", F.when(F.col("delivery_id") % 13 > 0, F.col("reason"))), audit.DEAD_LETTER_RULES),
+        with_views("fx_deliveries", sql=f"""select 'reason_not_null' as rule, count(*) as violations
+from fx_deliveries where reason is not null and delivery_id % 13 = 0
+union all select unnest([{zero(audit.DEAD_LETTER_RULES, "reason_not_null")}]), 0"""),
+    ),
+    Query(
+        "audit_primary_key",
+        lambda g: audit.repeated_keys(checked(g).where("id is not null").select("id"), ["id"]),
+        with_views("fx_deliveries", sql=f"select id, count(*) as occurrences from fx_deliveries where {USABLE} group by id having count(*) > 1"),
+    ),
+    Query(
+        "audit_message_refs",
+        lambda g: audit.dangling(g.messages, "conversation_id", g.conversations.where(~F.col("conversation_id").endswith("3")), "conversation_id"),
+        with_views("fx_messages", sql="""select conversation_id, count(*) as "rows" from fx_messages where conversation_id like '%3' group by 1"""),
     ),
     Query(
         "audit_keys",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callglass.operators import chunks as K
+from callglass.plans.folding import FINISHED
 from callglass.plans.ingestion import ROW, ROW_COLUMNS, USABLE
 from callglass.plans.registry import Query
 from callglass.session import scratch_path
@@ -34,9 +35,11 @@ def rollup(g: Given) -> DataFrame:
 
 
 def folds(g: Given) -> DataFrame:
-    """Calls whose runs have closed, folded to the end from the stream's rows."""
-    runs = run(g, live.fold_stream(given.chunks_from(stream_of(g, "conversations"))), "runs")
-    return K.fold_calls(runs).select("call_id", "text", "chunks", "input_tokens", "output_tokens", "finish_reason")
+    """Calls all of whose runs (of four chunks) have closed, folded to the end from the stream's rows."""
+    runs = run(g, live.fold_stream(given.chunks_from(stream_of(g, "conversations")), run=4), "runs")
+    return K.whole_calls(runs, g.calls).select(
+        "call_id", "text", "chunks", "ttft_ms", "latency_ms", "input_tokens", "output_tokens", "finish_reason", "metadata_json"
+    )
 
 
 def store(g: Given) -> Store:
@@ -69,13 +72,12 @@ having date_trunc('minute', completed_at) + interval '1 minute' <= (select max(c
     Query(
         "streamed_folds",
         folds,
-        with_views("fx_chunks", sql=""", s as (select call_id, string_agg(delta_text, '' order by chunk_no) as text, count(*) as chunks,
-  arg_max(input_tokens, chunk_no) filter (where input_tokens is not null) as input_tokens,
-  arg_max(output_tokens, chunk_no) filter (where output_tokens is not null) as output_tokens,
-  arg_max(finish_reason, chunk_no) filter (where finish_reason is not null) as finish_reason,
-  max(emitted_at) as last_at from fx_chunks group by 1)
-select call_id, text, chunks, input_tokens, output_tokens, finish_reason from s
-where last_at + interval '2 minutes' <= date_trunc('milliseconds', (select max(last_at) from s)) - interval '1 minute'"""),
+        with_views("fx_calls", "fx_chunks", sql=f""", {FINISHED},
+r as (select call_id, chunk_no // 4 as run, max(emitted_at) as last_at from fx_chunks group by 1, 2),
+closed as (select max(last_at) as passed from r
+  where last_at + interval '2 minutes' <= date_trunc('milliseconds', (select max(last_at) from r)) - interval '1 minute')
+select call_id, text, chunks, ttft_ms, latency_ms, input_tokens, output_tokens, finish_reason, metadata_json
+from done, closed where chunks > 0 and ended_at <= passed"""),
     ),
     Query(
         "stored_logs",

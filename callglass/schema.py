@@ -20,6 +20,7 @@ MAX_PROVIDER_CHARS = 64
 MAX_MODEL_CHARS = 128
 MAX_ERROR_TYPE_CHARS = 128
 MAX_FINISH_REASON_CHARS = 64
+MAX_EVENT_TYPE_CHARS = 64
 MAX_MESSAGE_CHARS = 32_000
 MAX_PROCESSING_ERROR_CHARS = 4_000
 STREAM_KEEP = 100_000

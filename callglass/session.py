@@ -40,10 +40,14 @@ def build(master: str = "local[*]", shuffle_partitions: int | None = None, **ext
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, named by ``spark.checkpoint.dir``.
 
-    Only where a session names none (tests, one machine) is a temporary one set.
+    Only a session on one machine that names none gets a temporary one. Elsewhere
+    executors would write to their own disks, so a missing setting is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master!r} share")
         folder = tempfile.mkdtemp(prefix="callglass-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -57,10 +61,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Mark ``df`` for broadcast when a count shows at most ``max_rows`` rows.
 
-    The count stops after ``max_rows + 1`` rows. A larger frame is returned as it
-    is, so that the join shuffles. Meant for narrow key frames inside a
-    micro-batch, where the frame is already persisted.
+    A larger frame is returned as it is, so that the join shuffles. Meant for narrow
+    key frames, as those of a micro-batch, where the frame is already persisted.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
+    if df.count() <= max_rows:
         return F.broadcast(df)
     return df

@@ -55,8 +55,6 @@ def test_a_call_with_many_chunks_spans_runs(spark):
     assert runs.agg(F.max("chunks")).first()[0] == 64
     r = K.fold_calls(runs).first()
     assert r.text == "".join(str(i % 10) for i in range(n)) and r.output_tokens == n - 1 and r.chunks == n
-    beyond = K.fold_calls(runs, max_runs=10).first()
-    assert beyond.text is None and beyond.chunks == n
     assert "".join(x.text for x in runs.orderBy("run").collect()) == r.text
 
 
@@ -93,3 +91,17 @@ def test_messages_left_by_calls(spark):
     assert left("completed") == {"a": " part\n", "blank": " \n", "none": ""}
     assert left("cancelled") == {"a": "part"} and left("provider_error") == {"a": "part"}
     assert left("unexpected") == {} and left("provider_error", streamed=False) == {}
+
+
+def test_a_call_with_an_open_run_is_not_shown(spark):
+    c = stream(spark, *[("a", i, str(i), None, None, None, '{"n":%d}' % i if i in (0, 9) else None) for i in range(10)],
+               *[("b", i, "x", None, None, None, None) for i in range(6)])
+    runs = K.fold_runs(c, 4)
+    ended = calls(spark, "a", "b").withColumn("ended_at", F.when(F.col("call_id") == "a", F.lit(T0 + timedelta(milliseconds=360))).otherwise(F.lit(T0)))
+    whole = {r.call_id: r for r in K.whole_calls(runs, ended).collect()}
+    assert whole["a"].text == "0123456789" and whole["a"].ttft_ms == 100 and json.loads(whole["a"].metadata_json) == {"n": 9}
+    # The last run of a is open; b has a gap; both stay out.
+    assert set(r.call_id for r in K.whole_calls(runs.where("call_id = 'b' or run < 2"), ended).collect()) == {"b"}
+    assert "b" not in {r.call_id for r in K.whole_calls(runs.where("call_id = 'a' or run > 0"), ended).collect()}
+    late = ended.withColumn("ended_at", F.lit(T0 + timedelta(hours=1)))
+    assert K.whole_calls(runs, late).count() == 0
