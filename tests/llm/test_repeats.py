@@ -75,5 +75,5 @@ def test_two_windows_with_one_fingerprint_are_told_apart(monkeypatch):
     import numpy as np
 
     monkeypatch.setattr(repeats, "windows", lambda values, size: np.zeros(max(0, len(values) - size + 1), np.uint64))
-    row, at = repeats.repeated_in_packs([b"a b c", b"a b d", b"a b c"], np.ones(3, np.int64), 3, repeats.WordHashes())
+    row, at = repeats.repeated_in_packs([b"a b c", b"a b d", b"a b c"], np.ones(3, np.int64), 3)
     assert row.tolist() == [0, 2] and at.tolist() == [0, 0]
