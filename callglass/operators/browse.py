@@ -41,7 +41,10 @@ def matching(
         if value is not None:
             calls = calls.where(F.col(column) == value)
     if started_since is not None:
-        calls = calls.where(F.col("started_at") >= as_timestamp(started_since))
+        since = as_timestamp(started_since)
+        calls = calls.where(F.col("started_at") >= since)
+        if "completed_date" in calls.columns:  # a call ends after it starts, so no earlier day can hold one
+            calls = calls.where(F.col("completed_date") >= F.to_date(since))
     return calls
 
 

@@ -27,6 +27,13 @@ def already_stored(stored: DataFrame, ids: DataFrame, key: str = "id") -> DataFr
     return stored.select(key).join(ids.select(key), key, "left_semi").distinct()
 
 
+def stored_ids(raw: DataFrame, logs: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """Which of ``ids`` the two targets hold: ``in_raw`` and ``in_logs``, reading each key column once."""
+    both = raw.select(key, F.lit(True).alias("in_raw")).union(logs.select(key, F.lit(False)))
+    found = both.join(ids.select(key), key, "left_semi")
+    return found.groupBy(key).agg(F.bool_or("in_raw").alias("in_raw"), F.bool_or(~F.col("in_raw")).alias("in_logs"))
+
+
 def not_stored(rows: DataFrame, found: DataFrame, key: str = "id") -> DataFrame:
     return rows.join(found.select(key), key, "left_anti")
 
@@ -106,11 +113,10 @@ def state_of(checked: DataFrame) -> DataFrame:
 
 
 def latest_attempt(attempt_rows: DataFrame, order: list[str]) -> DataFrame:
-    """Status by the last attempt per id; a success clears the error. Combines map-side."""
-    last = F.max(F.struct(*order, "processing_status", "processing_error")).alias("_last")
-    return attempt_rows.groupBy("id").agg(last).select(
-        "id", F.col("_last.processing_status"), F.col("_last.processing_error")
-    )
+    """Status and time of the last attempt per id; a success clears the error. Combines map-side."""
+    told = [c for c in ("processing_status", "processing_error", "processed_at") if c in attempt_rows.columns]
+    last = F.max(F.struct(*order, *told)).alias("_last")
+    return attempt_rows.groupBy("id").agg(last).select("id", *[F.col(f"_last.{c}") for c in told])
 
 
 def raw_state(raw: DataFrame, attempt_rows: DataFrame, order: list[str]) -> DataFrame:

@@ -58,6 +58,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def delete_path(spark: SparkSession, pattern: str) -> None:
+    """Deletes what a path pattern names, in whatever file system it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for found in files.globStatus(path) or []:
+        files.delete(found.getPath(), True)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Mark ``df`` for broadcast when a count shows at most ``max_rows`` rows.
 

@@ -1,8 +1,10 @@
 """The stored tables: layout, batch-wise writes that can be repeated, reads.
 
-Every micro-batch owns its ``batch_id`` partitions and overwrites exactly those, so a
-batch that runs again after a crash leaves the same rows. Reading with
-``before_batch`` gives what was there when the batch first ran.
+Every micro-batch owns its ``batch_id`` partitions. It clears them before it writes, so a
+batch that runs again, even under another contract, leaves what it wrote last and nothing
+else. ``outcomes`` is cleared first and written last: a batch whose row is there is
+complete, and readers see complete batches only. Reading with ``before_batch`` gives what
+was there when the batch first ran.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import types as T
 
 from callglass import schema as S
 from callglass.operators import ingest
+from callglass.session import delete_path
 
 _BATCH = T.StructField("batch_id", T.LongType())
 
@@ -52,6 +55,10 @@ OUTCOMES = T.StructType(
 )
 
 
+#: Bloom filters in the log's files let a lookup by id or conversation skip most row groups.
+BLOOM = {f"parquet.bloom.filter.enabled#{c}": "true" for c in ("id", "conversation_id")}
+
+
 @dataclass(frozen=True)
 class Table:
     name: str
@@ -89,8 +96,20 @@ class Store:
         return self
 
     def read(self, name: str, before_batch: int | None = None) -> DataFrame:
+        """Rows of complete batches; batches before the one that runs are complete."""
         df = self.spark.read.schema(TABLES[name].schema).parquet(self.path(name))
-        return df if before_batch is None else df.where(F.col("batch_id") < before_batch)
+        if before_batch is not None:
+            return df.where(F.col("batch_id") < before_batch)
+        if name == "outcomes":
+            return df
+        complete = self.read("outcomes").select("batch_id").distinct()
+        return df.join(complete, "batch_id", "left_semi").select(*df.columns)
+
+    def clear(self, batch_id: int) -> None:
+        """Removes what an earlier run of this batch left, its mark of completion first."""
+        for name in ("outcomes", *(n for n in TABLES if n != "outcomes")):
+            above = "*/" * (len(TABLES[name].partitions) - 1)
+            delete_path(self.spark, f"{self.path(name)}/{above}batch_id={batch_id}")
 
     def write(self, name: str, rows: DataFrame, batch_id: int) -> None:
         """Replaces this batch's part of a table.
@@ -104,6 +123,7 @@ class Store:
             rows.hint("rebalance", *table.partitions)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
+            .options(**(BLOOM if name == "logs" else {}))
             .partitionBy(*table.partitions)
             .parquet(self.path(name))
         )
@@ -127,6 +147,7 @@ def rewrite_sorted(logs: DataFrame, target: str, max_records_per_file: int = 5_0
         .sortWithinPartitions(*order)
         .write.mode("errorifexists")
         .option("maxRecordsPerFile", max_records_per_file)
+        .options(**BLOOM)
         .partitionBy("completed_date")
         .parquet(target)
     )

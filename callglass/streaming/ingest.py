@@ -9,25 +9,29 @@ from pyspark.sql.streaming import StreamingQuery
 
 from callglass.functions.frames import spread
 from callglass.operators import ingest
-from callglass.session import broadcast_if_small, configure, scratch_path
+from callglass.session import broadcast_if_small, configure, delete_path, scratch_path
 from callglass.sources.tables import Store
 
 
 def write_batch(store: Store, envelopes: DataFrame, batch_id: int, check_with=ingest.check) -> None:
-    """One micro-batch. Running it again gives the same tables.
+    """One micro-batch. Running it again replaces what it wrote before.
 
     The batch is checked once and kept; the ids it holds, narrow and bounded by the
-    trigger, find what is already stored without shuffling the stored tables. Only
-    batches before this one count as stored. The checkpoint moves on after the last
-    write, so a crash anywhere leads to a repeat. Only frames that do not read the
-    tables are kept in memory: a write refreshes whatever is kept of its own path.
+    trigger, find what is already stored without shuffling the stored tables. The stored
+    ids are read once and what is found goes to the shared scratch folder. Only batches
+    before this one count as stored. The checkpoint moves on after the last write, so a
+    crash anywhere leads to a repeat. Only frames that do not read the tables are kept in
+    memory: a write refreshes whatever is kept of its own path.
     """
+    store.clear(batch_id)
+    found = scratch_path(store.spark, "known")
     checked = check_with(spread(envelopes, "delivery_id")).persist(StorageLevel.MEMORY_AND_DISK)
+    ids = checked.where(F.col("id").isNotNull()).select("id").distinct().persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        ids = checked.where(F.col("id").isNotNull()).select("id").distinct().persist(StorageLevel.MEMORY_AND_DISK)
-        small = broadcast_if_small(ids)
-        known_raw = ingest.already_stored(store.read("raw", batch_id), small)
-        known_logs = ingest.already_stored(store.read("logs", batch_id), small)
+        known = ingest.stored_ids(store.read("raw", batch_id), store.read("logs", batch_id), broadcast_if_small(ids))
+        known.write.parquet(found)
+        known = store.spark.read.schema("id string, in_raw boolean, in_logs boolean").parquet(found)
+        known_raw, known_logs = known.where("in_raw").select("id"), known.where("in_logs").select("id")
         now = F.current_timestamp()
         landing = ingest.land(checked, known_raw, known_logs)
         store.write("raw", landing.raw.withColumn("received_at", now), batch_id)
@@ -36,9 +40,10 @@ def write_batch(store: Store, envelopes: DataFrame, batch_id: int, check_with=in
         store.write("logs", logs, batch_id)
         store.write("attempts", landing.attempts.withColumn("processed_at", now), batch_id)
         store.write("outcomes", landing.outcomes, batch_id)
-        ids.unpersist()
     finally:
+        ids.unpersist()
         checked.unpersist()
+        delete_path(store.spark, found)
 
 
 def start(
@@ -62,8 +67,9 @@ def replay_failed(store: Store, batch_id: int, repair=None, check_with=ingest.ch
     ``batch_id`` must be above every batch so far; the stream is stopped meanwhile. The
     failed events are written out first, so that the batch does not read the tables it fills.
     """
-    path = scratch_path(store.spark, "replay")
+    path = f"{store.root}/replay-{batch_id}"
     failed = store.raw_state(batch_id).where(F.col("processing_status") == "failed")
-    failed.select("delivery_id", "payload").write.parquet(path)
+    failed.select("delivery_id", "payload").write.mode("overwrite").parquet(path)
     rows = store.spark.read.schema("delivery_id long, payload string").parquet(path)
     write_batch(store, rows, batch_id, lambda again: ingest.replay(again, repair, check_with))
+    delete_path(store.spark, path)

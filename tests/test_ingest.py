@@ -166,6 +166,49 @@ def test_audits(spark, given):
     assert found == {"latency_ms_non_negative": 10, "status_domain": 10}
     long = spark.createDataFrame([("c", 0, "user", "x" * 32_000), ("c", 0, "user", "x" * 32_001), ("c", 1, "bot", "")],
                                  "conversation_id string, seq int, role string, content string")
+    long = long.withColumn("created_at", F.current_timestamp())
     found = {r.rule: r.violations for r in audit.violations(long, audit.MESSAGE_RULES).collect() if r.violations}
     assert found == {"role_domain": 1, "content_length": 2}
     assert [tuple(r) for r in audit.repeated_keys(long, ["conversation_id", "seq"]).collect()] == [("c", 0, 2)]
+
+
+def test_a_repeat_under_a_stricter_contract_leaves_no_old_row(spark, tmp_path):
+    from callglass.sources.tables import Store
+    from callglass.streaming import ingest as streaming
+
+    store = Store(spark, str(tmp_path / "store")).create()
+    sent = deliveries(spark, [event(), event(id=ID % 2)])
+    streaming.write_batch(store, sent, 0)
+    assert store.read("logs").count() == 2
+    strict = lambda rows: ingest.check(rows.withColumn("data", F.regexp_replace("data", '"success"', '"SUCCESS"')))
+    streaming.write_batch(store, sent, 0, strict)
+    assert store.read("logs").count() == 0 and store.read("outcomes").select("inserted", "rejected").collect() == [(0, 2)]
+    assert store.read("dead_letters").count() == 2
+    state = store.raw_state().collect()
+    assert {r.processing_status for r in state} == {"failed"} and all(r.processed_at for r in state)
+
+
+def test_a_batch_without_its_mark_is_not_shown(spark, tmp_path):
+    from callglass.session import delete_path
+    from callglass.sources.tables import Store
+    from callglass.streaming import ingest as streaming
+
+    store = Store(spark, str(tmp_path / "store")).create()
+    streaming.write_batch(store, deliveries(spark, [event()]), 0)
+    streaming.write_batch(store, deliveries(spark, [event(), event(id=ID % 2)]), 1)
+    assert store.read("logs").count() == 2 and [r.duplicates for r in store.read("outcomes").orderBy("batch_id").collect()] == [0, 1]
+    delete_path(spark, f"{store.path('outcomes')}/batch_id=1")
+    assert store.read("logs").count() == 1 and store.read("raw").count() == 1
+
+
+def test_a_page_since_a_time_reads_late_days_only(spark, tmp_path):
+    from callglass.operators import browse
+    from callglass.sources.tables import Store
+    from callglass.streaming import ingest as streaming
+
+    store = Store(spark, str(tmp_path / "store")).create()
+    streaming.write_batch(store, deliveries(spark, [event()]), 0)
+    logs = spark.read.parquet(store.path("logs"))
+    plan = browse.matching(logs, started_since="2024-01-01 00:00:00")._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "completed_date" in filters and browse.matching(logs, started_since="2024-01-01 00:00:00").count() == 1
