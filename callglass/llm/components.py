@@ -25,18 +25,22 @@ def connected(links: DataFrame) -> DataFrame:
     """``node`` and ``component``, the smallest node that links (``a``, ``b``) reach.
 
     Each round hangs larger neighbours, then smaller ones, below the least. It ends when
-    nothing changes; the number of rounds grows with the logarithm of the longest path.
+    only stars are left; the number of rounds grows with the logarithm of the longest path.
     Minima are combined before they travel, and joins split a node with very many links.
     """
     now = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    now, before = stored(now, "links"), None
-    while True:
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if mark == before or mark[0] == 0:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
-        before = mark
+    now = stored(now, "links")
+    while not stars(now):
         both = now.union(now.select("v", "u"))
-        large = least_neighbour(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = least_neighbour(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = least_neighbour(large)
         now = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = stored(now, "links")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+
+
+def stars(links: DataFrame) -> bool:
+    """Whether each node is either a centre or hangs below one centre; every link (u, v) has v < u."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("centre")).union(links.select("v", F.lit(0), F.lit(1)))
+    by = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("centre").alias("centre"))
+    return by.where("below > 1 or below = 1 and centre = 1").limit(1).count() == 0

@@ -12,8 +12,10 @@
    set walk it: overlaps of a common path are counted once, and a subtree is left when the
    overlap so far and what remains cannot reach the need, or when all of it is already
    connected with the set. A bucket reports links that connect, not all pairs.
-4. First every set visits its first two shared buckets. What this connects needs no more
-   comparing: later only buckets that still hold several components are opened.
+4. Sets that share buckets, directly or through others, form a group. A group of bounded
+   size is one trie, so that each set travels once. In a larger group every set visits two
+   buckets first. What this connects needs no more comparing: later only buckets that still
+   hold several components are opened.
 
 A bucket with very many sets is split. In the first visit some of its sets are placed
 into all of its parts; in the second, its largest component is cut into parts and the
@@ -27,7 +29,6 @@ nothing. Only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,25 +38,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callglass.llm.components import connected, stored
-from callglass.llm.words import WordHashes, mapped, scrambled, small_batches, texts, windows
+from callglass.llm.words import Words, chunks, mapped, scrambled, small_batches, whole_groups, windows
 
 #: Bytes of text in a block, texts of a task whose copies are known, places of an n-gram in a block that travel with it.
 CHUNK, REMEMBERED, FEW = 4_000_000, 300_000, 32
 #: Sets in a bucket before it is split, and about how many of them go into all parts.
 BUCKET, SHARED = 2_048, 64
+#: Bytes of an n-gram's hash, of its place in a block, and of its count, as they travel.
+GRAM, PLACE, COUNT = 6, 3, 4
 #: Bytes of slices that an owner takes at once.
-HELD = 32_000_000
+HELD = 4_000_000
 MEMBER, META, SLICE, HOT_COUNT, HOT_PLACES, SHARED_GRAMS, HOT_SHARED, SET = range(8)
 FIELDS = [("kind", pa.int8()), ("part", pa.int32()), ("block", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())]
 ARROW = pa.schema(FIELDS)
 ROWS = "kind byte, part int, block long, a binary, b binary, c binary, doc_id long, n int, d1 long, d2 long"
 
 
-def table(rows: list[tuple]) -> pa.RecordBatch:
+def rows_of(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [[]] * len(FIELDS)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, FIELDS)], schema=ARROW)
 
 
+def packed(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each value, byte by byte of all values, which compresses well when they are sorted."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unpacked(data: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.reshape(-1).view("<u8")
+
+
 def needed(total: int, t: tuple[int, int]) -> int:
     """Least intersection of two sets with ``total`` n-grams together."""
     return -(-t[0] * total // (t[0] + t[1]))
@@ -65,26 +80,18 @@ def prefix(n: int, t: tuple[int, int]) -> int:
     return n - -(-t[0] * n // t[1]) + 1
 
 
-def gram_sets(found: list[list[bytes]], size: int, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def gram_sets(c: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams, sorted by hash, and the text of each."""
-    grams, owners = [], []
-    hashes = known.of([w for ws in found for w in ws])
-    counts = np.fromiter(map(len, found), np.int64, len(found))
-    first = np.concatenate([[0], np.cumsum(counts)])
-    room = np.maximum(counts - size + 1, 0)
-    owner = np.repeat(np.arange(len(found)), room)
-    at = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(room)])[:-1], room) + first[owner]
-    grams.append(scrambled(windows(hashes, size)[at]) if len(at) else np.zeros(0, np.uint64))
-    owners.append(owner)
+    owner, at = c.runs(size)
+    grams, owners = [scrambled(windows(c.hashes, size)[at]) if len(at) else np.zeros(0, np.uint64)], [owner]
     for k in range(1, size):  # shorter texts are one sequence
-        short = np.flatnonzero(counts == k)
+        short = np.flatnonzero(c.counts == k)
         if len(short):
-            grams.append(scrambled(windows(hashes, k)[first[short]], k))
+            grams.append(scrambled(windows(c.hashes, k)[c.first[short]], k))
             owners.append(short)
     h, o = np.concatenate(grams), np.concatenate(owners)
-    order = np.argsort(h, kind="stable")
-    by_text = np.lexsort((o, h)) if len(owners) > 1 else order
-    h, o = h[by_text], o[by_text]
+    order = np.argsort(h, kind="stable") if len(owners) == 1 else np.lexsort((o, h))
+    h, o = h[order], o[order]
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
     return h[keep], o[keep]
@@ -92,72 +99,48 @@ def gram_sets(found: list[list[bytes]], size: int, known: WordHashes) -> tuple[n
 
 def slices(batches: Iterator[pa.RecordBatch], size: int, parts: int) -> Iterator[pa.RecordBatch]:
     """Step 1 in the task that has the texts."""
-    known, seen, serial = WordHashes(), set(), TaskContext.get().partitionId() << 32
-    width = (1 << 64) // parts + 1
+    seen, serial = set(), TaskContext.get().partitionId() << 32
+    width = (1 << 8 * GRAM) // parts + 1
     edges = np.array([k * width for k in range(1, parts)], np.uint64)
-    for batch in batches:
-        raw, ids = texts(batch.column("text")), batch.column("doc_id").to_pylist()
-        start, held = 0, 0
-        for i, t in enumerate(raw):
-            held += len(t)
-            if held < CHUNK and i + 1 < len(raw):
-                continue
-            own = ids[start : i + 1]
-            h, o = gram_sets([t.lower().split() for t in raw[start : i + 1]], size, known)
-            start, held, serial = i + 1, 0, serial + 1
-            n = np.bincount(o, minlength=len(own))
-            d1, d2 = np.zeros(len(own), np.uint64), np.zeros(len(own), np.uint64)
-            np.add.at(d1, o, scrambled(h, 2))
-            np.add.at(d2, o, scrambled(h, 3))
-            d1, d2 = d1.view(np.int64), d2.view(np.int64)
-            rows, sent = [], np.zeros(len(own), bool)
-            for k, (doc, count, x, y) in enumerate(zip(own, n.tolist(), d1.tolist(), d2.tolist())):
-                rows.append((MEMBER, hash((serial, k)) % parts, serial + k, None, None, None, doc, count, x, y))
-                if doc is not None and count and (x, y) not in seen:
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen.add((x, y))
-                    sent[k] = True
-            rows.append((META, serial % parts, serial, np.stack([d1, d2], 1).tobytes(), n.astype(np.uint32).tobytes(), None, None, None, None, None))
-            keep = sent[o]
-            h, o = h[keep], o[keep]
-            if len(h):
-                heads = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-                times = np.diff(np.append(heads, len(h)))
-                often = np.repeat(times > FEW, times)
-                cuts = [0, *np.searchsorted(h, edges).tolist(), len(h)]
-                for part in range(parts):
-                    x, y = cuts[part], cuts[part + 1]
-                    if x < y:
-                        few = ~often[x:y]
-                        if few.any():
-                            rows.append((SLICE, part, serial, h[x:y][few].tobytes(), None, o[x:y][few].astype(np.uint32).tobytes(), None, None, None, None))
-                        hot = heads[(heads >= x) & (heads < y)]
-                        hot = hot[often[hot]]
-                        if len(hot):
-                            count = times[np.searchsorted(heads, hot)].astype(np.uint32).tobytes()
-                            rows.append((HOT_COUNT, part, serial, h[hot].tobytes(), count, None, None, None, None, None))
-                if often.any():
-                    rows.append((HOT_PLACES, serial % parts, serial, h[often].tobytes(), None, o[often].astype(np.uint32).tobytes(), None, None, None, None))
-            yield table(rows)
-
-
-def whole_groups(batches: Iterator[pa.RecordBatch], key: str, held_bytes: int) -> Iterator[pa.Table]:
-    """Blocks of rows that come sorted by ``key``, cut between keys."""
-    held, weight = [], 0
-    for batch in batches:
-        held.append(batch)
-        weight += batch.nbytes
-        if weight >= held_bytes:
-            block = pa.Table.from_batches(held)
-            keys = block.column(key).to_numpy()
-            cut = int(np.searchsorted(keys, keys[-1]))
-            if cut:
-                yield block.slice(0, cut)
-                held = block.slice(cut).combine_chunks().to_batches()
-                weight = sum(b.nbytes for b in held)
-    if held:
-        yield pa.Table.from_batches(held)
+    for batch, c in chunks(batches, lower=True, most=CHUNK):
+        own = batch.column("doc_id").to_pylist()
+        h, o = gram_sets(c, size)
+        serial += 1
+        n = np.bincount(o, minlength=len(own))
+        d1, d2 = np.zeros(len(own), np.uint64), np.zeros(len(own), np.uint64)
+        np.add.at(d1, o, scrambled(h, 2))
+        np.add.at(d2, o, scrambled(h, 3))
+        d1, d2 = d1.view(np.int64), d2.view(np.int64)
+        rows, sent = [], np.zeros(len(own), bool)
+        for k, (doc, count, x, y) in enumerate(zip(own, n.tolist(), d1.tolist(), d2.tolist())):
+            rows.append((MEMBER, hash((serial, k)) % parts, serial + k, None, None, None, doc, count, x, y))
+            if doc is not None and count and (x, y) not in seen:
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add((x, y))
+                sent[k] = True
+        rows.append((META, serial % parts, serial, np.stack([d1, d2], 1).tobytes(), n.astype(np.uint32).tobytes(), None, None, None, None, None))
+        keep = sent[o]
+        h, o = h[keep] >> np.uint64(64 - 8 * GRAM), o[keep]
+        if len(h):
+            heads = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            times = np.diff(np.append(heads, len(h)))
+            often = np.repeat(times > FEW, times)
+            cuts = [0, *np.searchsorted(h, edges).tolist(), len(h)]
+            for part in range(parts):
+                x, y = cuts[part], cuts[part + 1]
+                if x < y:
+                    few = ~often[x:y]
+                    if few.any():
+                        rows.append((SLICE, part, serial, packed(h[x:y][few], GRAM), None, packed(o[x:y][few], PLACE), None, None, None, None))
+                    hot = heads[(heads >= x) & (heads < y)]
+                    hot = hot[often[hot]]
+                    if len(hot):
+                        count = packed(times[np.searchsorted(heads, hot)], COUNT)
+                        rows.append((HOT_COUNT, part, serial, packed(h[hot], GRAM), count, None, None, None, None, None))
+            if often.any():
+                rows.append((HOT_PLACES, serial % parts, serial, packed(h[often], GRAM), None, packed(o[often], PLACE), None, None, None, None))
+        yield rows_of(rows)
 
 
 def owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,11 +152,11 @@ def owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, weights, places, serials = [], [], [], []
         rest = block.filter(pa.array(~passing)).select(["kind", "block", "a", "b", "c"])
         for k, serial, a, b, c in zip(*(rest.column(x).to_pylist() for x in rest.column_names)):
-            h = np.frombuffer(a, np.uint64)
+            h = unpacked(a, GRAM)
             grams.append(h)
             serials.append(np.full(len(h), serial))
-            weights.append(np.frombuffer(b, np.uint32) if k == HOT_COUNT else np.ones(len(h), np.uint32))
-            places.append(np.frombuffer(c, np.uint32).astype(np.int64) if k == SLICE else np.full(len(h), -1))
+            weights.append(unpacked(b, COUNT) if k == HOT_COUNT else np.ones(len(h), np.uint64))
+            places.append(unpacked(c, PLACE).astype(np.int64) if k == SLICE else np.full(len(h), -1))
         if not grams:
             continue
         h, w, p, s = map(np.concatenate, (grams, weights, places, serials))
@@ -183,7 +166,7 @@ def owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.empty(len(h), np.int64)
         count[order] = np.repeat(total, np.diff(np.append(heads, len(h))))
         keep = np.flatnonzero(count > 1)
-        keep = keep[np.argsort(s[keep], kind="stable")]
+        keep = keep[np.lexsort((h[keep], s[keep]))]
         rows = []
         ends = np.flatnonzero(np.append(s[keep][1:] != s[keep][:-1], True)) + 1 if len(keep) else []
         low = 0
@@ -193,10 +176,10 @@ def owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for hot in (False, True):
                 q = pick[(p[pick] < 0) == hot]
                 if len(q):
-                    some = np.minimum(count[q], 0xFFFFFFFF).astype(np.uint32).tobytes()
-                    rows.append((HOT_SHARED if hot else SHARED_GRAMS, 0, serial, h[q].tobytes(), some, None if hot else p[q].astype(np.uint32).tobytes(), None, None, None, None))
+                    some = packed(np.minimum(count[q], (1 << 8 * COUNT) - 1), COUNT)
+                    rows.append((HOT_SHARED if hot else SHARED_GRAMS, 0, serial, packed(h[q], GRAM), some, None if hot else packed(p[q], PLACE), None, None, None, None))
         if rows:
-            yield table(rows)
+            yield rows_of(rows)
 
 
 def shared_sets(batches: Iterator[pa.RecordBatch], t: tuple[int, int]) -> Iterator[pa.RecordBatch]:
@@ -213,20 +196,20 @@ def shared_sets(batches: Iterator[pa.RecordBatch], t: tuple[int, int]) -> Iterat
 
 
 def block_sets(rows: list[tuple], t: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    grams, counts, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
+    grams, counts, owner = ([np.zeros(0, np.uint64)] for _ in range(3))
     meta, hot, hot_counts, hot_places = None, [], [], None
     for kind, _, a, b, c in rows:
         if kind == META:
             meta = (np.frombuffer(a, np.int64).reshape(-1, 2), np.frombuffer(b, np.uint32).astype(np.int64))
         elif kind == SHARED_GRAMS:
-            grams.append(np.frombuffer(a, np.uint64))
-            counts.append(np.frombuffer(b, np.uint32))
-            owner.append(np.frombuffer(c, np.uint32))
+            grams.append(unpacked(a, GRAM))
+            counts.append(unpacked(b, COUNT))
+            owner.append(unpacked(c, PLACE))
         elif kind == HOT_SHARED:
-            hot.append(np.frombuffer(a, np.uint64))
-            hot_counts.append(np.frombuffer(b, np.uint32))
+            hot.append(unpacked(a, GRAM))
+            hot_counts.append(unpacked(b, COUNT))
         else:
-            hot_places = (np.frombuffer(a, np.uint64), np.frombuffer(c, np.uint32))
+            hot_places = (unpacked(a, GRAM), unpacked(c, PLACE))
     if hot_places is not None:
         h, k = np.concatenate(hot), np.concatenate(hot_counts)
         order = np.argsort(h)
@@ -242,22 +225,31 @@ def block_sets(rows: list[tuple], t: tuple[int, int]) -> Iterator[pa.RecordBatch
     for doc in np.unique(o).tolist():
         x, y, size = first[doc], first[doc + 1], int(n[doc])
         if size - (y - x) < prefix(size, t):
-            out.append((SET, 0, 0, h[x:y].tobytes(), k[x:y].tobytes(), None, None, size, int(digest[doc, 0]), int(digest[doc, 1])))
+            out.append((SET, 0, 0, packed(h[x:y], GRAM), None, None, None, size, int(digest[doc, 0]), int(digest[doc, 1])))
     if out:
-        yield table(out)
+        yield rows_of(out)
 
 
 def prefixes(batches: Iterator[pa.RecordBatch], t: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """A row for each shared n-gram in the prefix of a set."""
+    """A row for each shared n-gram in the prefix of a set.
+
+    If it is the first n-gram that two sets share, all before it in either are missing in
+    the other. The sets can link only if what they can spare adds up to 0 or more:
+    ``spare`` is n (1 - t) - place (1 + t), in whole numbers.
+    """
     for batch in batches:
-        grams, reps, places = [], [], []
-        for rep, n, a in zip(*(batch.column(x).to_pylist() for x in ("rep", "n", "a"))):
-            h = np.frombuffer(a, np.int64)
+        grams, rows, places, spare = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for k, (n, a) in enumerate(zip(batch.column("n").to_pylist(), batch.column("a").to_pylist())):
+            h = unpacked(a, GRAM).view(np.int64)
             use = h[: prefix(n, t) - (n - len(h))]
             grams.append(use)
-            reps.append(np.full(len(use), rep))
-            places.append(np.arange(len(use), dtype=np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (grams, reps, places)], ["gram", "rep", "place"])
+            rows.append(np.full(len(use), k))
+            places.append(np.arange(n - len(h), n - len(h) + len(use), dtype=np.int32))
+            spare.append(n * (t[1] - t[0]) - places[-1].astype(np.int64) * (t[1] + t[0]))
+        row = pa.array(np.concatenate(rows))
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.concatenate(grams)), pa.array(np.concatenate(places)), pa.array(np.concatenate(spare)), batch.column("d1").take(row), batch.column("d2").take(row),
+        ], ["gram", "place", "spare", "d1", "d2"])
 
 
 class Node:
@@ -307,10 +299,10 @@ class Trie:
         node.members.append((key, n))
 
     def join(self, key: int, n: int, grams: list[int]) -> Iterator[int]:
-        own, (num, den) = set(grams), self.t
-        stack = [(c, 0) for c in self.root.children.values()]
+        own, (num, den) = {g: i for i, g in enumerate(grams, 1)}, self.t
+        stack = [(c, 0, 0) for c in self.root.children.values()]
         while stack:
-            node, overlap = stack.pop()
+            node, overlap, last = stack.pop()
             if node is None:  # all below has been seen: it may be one component by now
                 node = overlap
                 tops = {None if c.same is None else self.top(c.same) for c in node.children.values()} | {self.top(m) for m, _ in node.members}
@@ -324,9 +316,10 @@ class Trie:
             need, edge, rest = needed(n + max(node.low, -(-num * n // den)), self.t), node.edge, node.rest
             for k in range(0, len(edge), 32):
                 piece = edge[k : k + 32]
-                overlap += len(own.intersection(piece))
-                left = len(grams) - bisect_right(grams, piece[-1])
-                if overlap + min(len(edge) - k - len(piece) + rest, left) < need:
+                met = [own[g] for g in piece if g in own]
+                if met:  # both are in one order: what follows in the tree matches only what follows here
+                    overlap, last = overlap + len(met), met[-1]
+                if overlap + min(len(edge) - k - len(piece) + rest, len(grams) - last) < need:
                     break
             else:
                 for other, m in node.members:
@@ -335,19 +328,19 @@ class Trie:
                         yield other
                 if node.children:
                     if node.same is None:
-                        stack.append((None, node))
-                    stack += [(c, overlap) for c in node.children.values()]
+                        stack.append((None, node, 0))
+                    stack += [(c, overlap, last) for c in node.children.values()]
 
 
 def bucket_links(rows: list[tuple], t: tuple[int, int]) -> Iterator[tuple[int, int]]:
-    """Links that connect the sets (rep, n, component, n-grams, counts) of one bucket."""
+    """Links that connect the sets (rep, n, component, n-grams) of one bucket."""
     if len({r[2] for r in rows}) < 2:
         return
     trie, first = Trie(t), {}
-    for rep, _, component, _, _ in rows:
+    for rep, _, component, _ in rows:
         trie.up[rep] = first.setdefault(component, rep)
-    for rep, n, _, a, b in sorted(rows, key=lambda r: (r[1], r[0])):
-        grams = [c << 64 | g for c, g in zip(np.frombuffer(b, np.uint32).tolist(), np.frombuffer(a, np.uint64).tolist())]
+    for rep, n, _, a in sorted(rows, key=lambda r: (r[1], r[0])):
+        grams = unpacked(a, GRAM).tolist()
         for other in trie.join(rep, n, grams):
             yield rep, other
         trie.add(rep, n, grams)
@@ -362,7 +355,7 @@ def bucket_joins(batches: Iterator[pa.RecordBatch], t: tuple[int, int]) -> Itera
         held.clear()
 
     for batch in batches:
-        for gram, piece, *row in zip(*(batch.column(x).to_pylist() for x in ("gram", "piece", "rep", "n", "component", "a", "b"))):
+        for gram, piece, *row in zip(*(batch.column(x).to_pylist() for x in ("gram", "piece", "rep", "n", "component", "a"))):
             if key != (gram, piece):
                 links()
                 key = (gram, piece)
@@ -377,7 +370,7 @@ def bucket_joins(batches: Iterator[pa.RecordBatch], t: tuple[int, int]) -> Itera
 
 def met(visits: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
     """Links found in the buckets (gram, piece) that sets visit; ``component`` tells what is connected already."""
-    rows = visits.join(sets.select("rep", "n", "a", "b"), "rep").repartition("gram", "piece").sortWithinPartitions("gram", "piece")
+    rows = visits.join(sets, ["d1", "d2"]).select("gram", "piece", "rep", "n", "component", "a").repartition("gram", "piece").sortWithinPartitions("gram", "piece")
     return mapped(rows, lambda b: bucket_joins(b, t), "a long, b long")
 
 
@@ -385,31 +378,47 @@ def spread(column: str = "rep"):
     return F.xxhash64(column)
 
 
+def signed(visitors: DataFrame) -> DataFrame:
+    """For each bucket of (``gram``, ``rep``): how many sets visit it, and a fingerprint of which."""
+    mark = F.xxhash64("rep")
+    return visitors.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.struct(F.count(F.lit(1)), F.bit_xor(mark), F.sum(F.shiftright(mark, 16))).alias("who"))
+
+
 def first_visits(shared: DataFrame) -> DataFrame:
-    """The first two shared n-grams of each set; a large bucket in parts, with some of its sets in all of them."""
-    two = shared.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct("place", "gram"))), 1, 2).alias("two"))
-    visits = two.select("rep", F.explode("two").alias("v")).select("rep", F.col("v.gram").alias("gram"))
-    sized = visits.join(visits.groupBy("gram").agg(F.count(F.lit(1)).alias("m")), "gram")
+    """The two shared n-grams of each set that most sets share."""
+    sized = shared.join(shared.groupBy("gram").agg((-F.count(F.lit(1))).alias("less")), "gram")
+    two = sized.groupBy("rep", "d1", "d2").agg(F.slice(F.sort_array(F.collect_list(F.struct("less", "place", "gram"))), 1, 2).alias("two"))
+    visits = two.select("rep", "d1", "d2", F.explode("two").alias("v")).select("rep", "d1", "d2", F.col("v.gram").alias("gram"))
+    return visits.join(signed(visits), "gram")
+
+
+def placed(visits: DataFrame) -> DataFrame:
+    """A large bucket in parts, with some of its sets in all of them."""
     pieces = F.ceil(F.col("m") / BUCKET)
     everywhere = F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(F.col("m") / SHARED)) == 0
     to = F.when((pieces > 1) & everywhere, F.sequence(F.lit(0).cast("long"), pieces - 1)).otherwise(F.array(F.pmod(spread(), pieces)))
-    return sized.select("rep", "gram", F.explode(to).alias("piece"), F.col("rep").alias("component"))
+    return visits.select("rep", "d1", "d2", "gram", F.explode(to).alias("piece"), F.col("rep").alias("component"))
 
 
 def open_visits(shared: DataFrame, components: DataFrame, done: DataFrame) -> DataFrame:
-    """Visits to buckets that still hold several components and were not compared whole (``done``: gram, visitors)."""
+    """Visits to buckets that still hold several components.
+
+    Buckets with the same visitors need one visit, and none if such a one was compared
+    whole before (``done``: who, m).
+    """
     at = shared.join(components.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     by = at.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("k"))
-    sizes = by.groupBy("gram").agg(F.sum("k").alias("m"), F.max("k").alias("most"), F.max_by("component", F.struct("k", "component")).alias("largest"), F.count(F.lit(1)).alias("components"))
-    still = sizes.where("components > 1").join(done, "gram", "left").where(F.col("visitors").isNull() | (F.col("visitors") < F.col("m")) | (F.col("m") > BUCKET))
-    rows = at.join(still.drop("visitors"), "gram")
+    sizes = by.groupBy("gram").agg(F.max("k").alias("most"), F.max_by("component", F.struct("k", "component")).alias("largest"), F.count(F.lit(1)).alias("components"))
+    once = sizes.where("components > 1").join(signed(shared), "gram").groupBy("who").agg(F.min("gram").alias("gram"), *(F.first(c).alias(c) for c in ("m", "most", "largest")))
+    still = once.join(done.where(F.col("m") <= BUCKET).select("who").distinct(), "who", "left_anti").drop("who")
+    rows = at.join(still, "gram")
     pieces, own = F.ceil(F.col("m") / BUCKET), F.pmod(spread(), F.ceil(F.col("m") / BUCKET))
     every = F.sequence(F.lit(0).cast("long"), pieces - 1)
     pairs = F.transform(every, lambda j: F.least(own, j) * pieces + F.greatest(own, j))
     to = F.when(pieces <= 1, F.array(F.lit(0).cast("long"))).when(
         F.col("m") - F.col("most") <= BUCKET, F.when(F.col("component") == F.col("largest"), F.array(own)).otherwise(every)
     ).otherwise(pairs)
-    return rows.select("rep", "gram", F.explode(to).alias("piece"), "component")
+    return rows.select("rep", "d1", "d2", "gram", F.explode(to).alias("piece"), "component")
 
 
 def joined(documents: DataFrame, size: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -420,19 +429,26 @@ def joined(documents: DataFrame, size: int = 5, similarity: tuple[int, int] = (4
     sent = mapped(documents.select("doc_id", "text"), lambda b: slices(b, size, parts), ROWS)
     counted = mapped(sent.repartition("part").sortWithinPartitions("part"), owners, ROWS)
     found = mapped(counted.repartition("block").sortWithinPartitions("block"), lambda b: shared_sets(b, t), ROWS)
-    found = stored(found.select("kind", "doc_id", "n", "d1", "d2", "a", "b"), "gram-sets")
+    found = stored(found.select("kind", "doc_id", "n", "d1", "d2", "a"), "gram-sets")
     members = found.where(F.col("kind") == MEMBER).select("doc_id", "n", "d1", "d2")
     classes = members.where("doc_id is not null and n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    sets = found.where(F.col("kind") == SET).dropDuplicates(["d1", "d2"]).join(classes, ["d1", "d2"]).select("rep", "n", "a", "b")
-    sets = stored(sets, "sets")
-    grams = mapped(sets.select("rep", "n", "a"), lambda b: prefixes(b, t), "gram long, rep long, place int")
-    several = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("gram")
-    shared = stored(grams.join(several, "gram"), "prefixes")
-    visits = first_visits(shared)
-    near = stored(met(visits, sets, t), "near")
-    done = visits.groupBy("gram").agg(F.count_distinct("rep").alias("visitors"))
-    more = stored(met(open_visits(shared, connected(near), done), sets, t), "near")
-    links = near.union(more).union(ids_in_several_classes(members, classes))
+    sets = found.where(F.col("kind") == SET).select("d1", "d2", "n", "a")
+    grams = mapped(sets, lambda b: prefixes(b, t), "gram long, place int, spare long, d1 long, d2 long").distinct()
+    several = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.max("spare").alias("most")).where("m > 1").select("gram", "most")
+    able = stored(grams.join(several, "gram").where("spare + most >= 0").select("gram", "place", "d1", "d2").join(classes, ["d1", "d2"]), "prefixes")
+    shared = stored(able.join(able.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("least")).where("m > 1").drop("m"), "gram"), "shared")
+    groups = connected(shared.select(F.col("rep").alias("a"), F.col("least").alias("b"))).withColumnsRenamed({"node": "rep", "component": "group"})
+    sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("m"))
+    grouped = stored(shared.select("rep", "d1", "d2").distinct().join(groups.join(sizes, "group"), "rep"), "groups")
+    once = grouped.where(F.col("m") <= BUCKET).select("rep", "d1", "d2", F.col("group").alias("gram"), F.lit(0).cast("long").alias("piece"), F.col("rep").alias("component"))
+    links = stored(met(once, sets, t), "near").union(ids_in_several_classes(members, classes))
+    large = grouped.where(F.col("m") > BUCKET).select("rep")
+    if large.limit(1).count():
+        shared = stored(shared.drop("least").join(large, "rep"), "shared")
+        visits = stored(first_visits(shared), "visits")
+        near = stored(met(placed(visits), sets, t), "near")
+        more = stored(met(open_visits(shared, connected(near), visits.select("who", "m").distinct()), sets, t), "near")
+        links = links.union(near).union(more)
     whole = connected(links).select(F.col("node").alias("rep"), "component")
     labels = classes.join(whole, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     out = members.join(labels, ["d1", "d2"], "left")
