@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callglass.llm.components import connected, stored
@@ -42,8 +42,8 @@ from callglass.llm.words import Words, chunks, mapped, scrambled, small_batches,
 
 #: Bytes of text in a block, texts of a task whose copies are known, places of an n-gram in a block that travel with it.
 CHUNK, REMEMBERED, FEW = 4_000_000, 300_000, 32
-#: Sets in a bucket before it is split, and about how many of them go into all parts.
-BUCKET, SHARED = 2_048, 64
+#: Sets in a bucket before it is split, and about how many of them go into all parts. A set of many n-grams counts as one for each ``USUAL``.
+BUCKET, SHARED, USUAL = 2_048, 64, 1_000
 #: Bytes of an n-gram's hash, of its place in a block, and of its count, as they travel.
 GRAM, PLACE, COUNT = 6, 3, 4
 #: Bytes of slices that an owner takes at once.
@@ -248,8 +248,8 @@ def prefixes(batches: Iterator[pa.RecordBatch], t: tuple[int, int]) -> Iterator[
             spare.append(n * (t[1] - t[0]) - places[-1].astype(np.int64) * (t[1] + t[0]))
         row = pa.array(np.concatenate(rows))
         yield pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate(grams)), pa.array(np.concatenate(places)), pa.array(np.concatenate(spare)), batch.column("d1").take(row), batch.column("d2").take(row),
-        ], ["gram", "place", "spare", "d1", "d2"])
+            pa.array(np.concatenate(grams)), pa.array(np.concatenate(places)), pa.array(np.concatenate(spare)), batch.column("n").take(row), batch.column("d1").take(row), batch.column("d2").take(row),
+        ], ["gram", "place", "spare", "n", "d1", "d2"])
 
 
 class Node:
@@ -374,21 +374,26 @@ def met(visits: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
     return mapped(rows, lambda b: bucket_joins(b, t), "a long, b long")
 
 
-def spread(column: str = "rep"):
+def spread(column: str = "rep") -> Column:
     return F.xxhash64(column)
 
 
+def weight() -> Column:
+    """How many sets a group of rows counts as."""
+    return F.sum(F.greatest(F.lit(1), F.ceil(F.col("n") / USUAL)))
+
+
 def signed(visitors: DataFrame) -> DataFrame:
     """For each bucket of (``gram``, ``rep``): how many sets visit it, and a fingerprint of which."""
     mark = F.xxhash64("rep")
-    return visitors.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.struct(F.count(F.lit(1)), F.bit_xor(mark), F.sum(F.shiftright(mark, 16))).alias("who"))
+    return visitors.groupBy("gram").agg(weight().alias("m"), F.struct(F.count(F.lit(1)), F.bit_xor(mark), F.sum(F.shiftright(mark, 16))).alias("who"))
 
 
 def first_visits(shared: DataFrame) -> DataFrame:
     """The two shared n-grams of each set that most sets share."""
     sized = shared.join(shared.groupBy("gram").agg((-F.count(F.lit(1))).alias("less")), "gram")
-    two = sized.groupBy("rep", "d1", "d2").agg(F.slice(F.sort_array(F.collect_list(F.struct("less", "place", "gram"))), 1, 2).alias("two"))
-    visits = two.select("rep", "d1", "d2", F.explode("two").alias("v")).select("rep", "d1", "d2", F.col("v.gram").alias("gram"))
+    two = sized.groupBy("rep", "d1", "d2", "n").agg(F.slice(F.sort_array(F.collect_list(F.struct("less", "place", "gram"))), 1, 2).alias("two"))
+    visits = two.select("rep", "d1", "d2", "n", F.explode("two").alias("v")).select("rep", "d1", "d2", "n", F.col("v.gram").alias("gram"))
     return visits.join(signed(visits), "gram")
 
 
@@ -407,7 +412,7 @@ def open_visits(shared: DataFrame, components: DataFrame, done: DataFrame) -> Da
     whole before (``done``: who, m).
     """
     at = shared.join(components.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    by = at.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("k"))
+    by = at.groupBy("gram", "component").agg(weight().alias("k"))
     sizes = by.groupBy("gram").agg(F.max("k").alias("most"), F.max_by("component", F.struct("k", "component")).alias("largest"), F.count(F.lit(1)).alias("components"))
     once = sizes.where("components > 1").join(signed(shared), "gram").groupBy("who").agg(F.min("gram").alias("gram"), *(F.first(c).alias(c) for c in ("m", "most", "largest")))
     still = once.join(done.where(F.col("m") <= BUCKET).select("who").distinct(), "who", "left_anti").drop("who")
@@ -433,13 +438,13 @@ def joined(documents: DataFrame, size: int = 5, similarity: tuple[int, int] = (4
     members = found.where(F.col("kind") == MEMBER).select("doc_id", "n", "d1", "d2")
     classes = members.where("doc_id is not null and n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     sets = found.where(F.col("kind") == SET).select("d1", "d2", "n", "a")
-    grams = mapped(sets, lambda b: prefixes(b, t), "gram long, place int, spare long, d1 long, d2 long").distinct()
+    grams = mapped(sets, lambda b: prefixes(b, t), "gram long, place int, spare long, n int, d1 long, d2 long").distinct()
     several = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.max("spare").alias("most")).where("m > 1").select("gram", "most")
-    able = stored(grams.join(several, "gram").where("spare + most >= 0").select("gram", "place", "d1", "d2").join(classes, ["d1", "d2"]), "prefixes")
+    able = stored(grams.join(several, "gram").where("spare + most >= 0").select("gram", "place", "n", "d1", "d2").join(classes, ["d1", "d2"]), "prefixes")
     shared = stored(able.join(able.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("least")).where("m > 1").drop("m"), "gram"), "shared")
     groups = connected(shared.select(F.col("rep").alias("a"), F.col("least").alias("b"))).withColumnsRenamed({"node": "rep", "component": "group"})
-    sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("m"))
-    grouped = stored(shared.select("rep", "d1", "d2").distinct().join(groups.join(sizes, "group"), "rep"), "groups")
+    members_of = shared.select("rep", "n", "d1", "d2").distinct().join(groups, "rep")
+    grouped = stored(members_of.join(members_of.groupBy("group").agg(weight().alias("m")), "group"), "groups")
     once = grouped.where(F.col("m") <= BUCKET).select("rep", "d1", "d2", F.col("group").alias("gram"), F.lit(0).cast("long").alias("piece"), F.col("rep").alias("component"))
     links = stored(met(once, sets, t), "near").union(ids_in_several_classes(members, classes))
     large = grouped.where(F.col("m") > BUCKET).select("rep")
