@@ -35,11 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callglass.llm.words import mapped, small_batches
+from callglass.llm.words import mapped, small_batches, windows
 
 BLANK = "▁"
-#: Characters of a chunk, stretches and neighbours a task remembers, longest stretch that is remembered.
+#: Characters of a chunk, stretches a task remembers, longest stretch that is remembered.
 CHUNK, REMEMBERED, LONGEST = 32_768, 150_000, 48
+#: Neighbours of pieces a task remembers.
+PAIRS = 600_000
+#: Longest stretch that is solved beside others, and how many at once.
+WIDEST, BATCH = 64, 20_000
 UNITS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 NEVER = float("-inf")
 
@@ -50,6 +54,15 @@ def vocabulary_file(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def places(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+
+
+def few_bits(hashes: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
+
 class Pieces:
     """A model's pieces and the weights of paths."""
 
@@ -77,7 +90,22 @@ class Pieces:
             node[""] = True
         #: No piece has a blank after another character, so all paths meet before such a blank.
         self.meets = not any(re.search(f"[^{BLANK}]{BLANK}", p) for p in plain)
-        self.beside: dict[tuple[str, str], bool] = {}
+        #: Whether right may follow left, by number of left * count + number of right.
+        self.beside: dict[int, bool] = {}
+        self.number = {p: k for k, p in enumerate(plain)}
+        self.count = len(plain)
+        self.whole = {p for p in plain if len(p) == 1 or self.merged(p) == [p]} if merging else set(plain)
+        self.text_of = list(plain)
+        self.id_of = np.array([plain[p][0] for p in plain], np.int32)
+        self.by_length = []
+        for n in range(1, self.longest + 1):
+            own = [p for p in self.whole if len(p) == n]
+            hashes = np.array([windows(places(p), n)[0] for p in own], np.uint64)
+            order = np.argsort(hashes)
+            maybe = np.zeros(1 << 20, bool)
+            maybe[few_bits(hashes)] = True
+            self.by_length.append((hashes[order], np.array([self.number[p] for p in own], np.int64)[order], maybe))
+        self.pairs, self.fit = np.array([-1], np.int64), np.array([False])
         self.known: dict[str, list[str]] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -95,18 +123,22 @@ class Pieces:
 
     def fits(self, left: str, right: str) -> bool:
         """Whether merging keeps the two pieces apart."""
-        have = self.beside.get((left, right))
+        a, b = self.number.get(left), self.number.get(right)
+        if a is None or b is None:  # a character that is no piece joins nothing
+            return True
+        key = a * self.count + b
+        have = self.beside.get(key)
         if have is None:
-            if len(self.beside) >= REMEMBERED:
+            if len(self.beside) >= PAIRS:
                 self.beside.clear()
-            have = self.beside[left, right] = self.merged(left + right) == [left, right]
+            have = self.beside[key] = self.merged(left + right) == [left, right]
         return have
 
     def weight(self, before: str | None, piece: str) -> float:
         if not self.merging:
             return self.scores.get(piece, self.least)
         if before is None:
-            return 0.0 if len(piece) == 1 or self.merged(piece) == [piece] else NEVER
+            return 0.0 if len(piece) == 1 or piece in self.whole else NEVER
         return 0.0 if self.fits(before, piece) else NEVER
 
     def reach(self, text: str, start: int, before: str | None, limit: int) -> dict[int, tuple[float, int]]:
@@ -142,13 +174,136 @@ class Pieces:
             at = best[at][1]
         return best[end][0], out[::-1]
 
+    def fit_all(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``fits`` for arrays of piece numbers; -1 is a character that is no piece."""
+        keys = left * self.count + right
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        out = self.fit[at]
+        new = np.flatnonzero((self.pairs[at] != keys) & (left >= 0) & (right >= 0))
+        for k in new.tolist():
+            out[k] = self.fits(self.text_of[left[k]], self.text_of[right[k]])
+        return out | (left < 0) | (right < 0)
+
+    def solve(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many stretches at once, one after the other, and where each begins and the last ends.
+
+        The scan of ``only_path``, carried out for all stretches side by side, place by place.
+        """
+        if not self.merging or max(map(len, units), default=0) > WIDEST:
+            rows = [self.numbers(self.unit(u)) for u in units]
+            return np.fromiter((i for r in rows for i in r), np.int32), np.cumsum([0, *map(len, rows)])
+        text = "".join(units)
+        cp = places(text)
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        first = np.concatenate([[0], np.cumsum(size)])[:-1]
+        ahead = np.repeat(first + size, size) - np.arange(len(cp))
+        found = np.full((self.longest + 1, len(cp)), -1, np.int64)
+        for n, (hashes, numbers, maybe) in enumerate(self.by_length, 1):
+            own = windows(cp, n)
+            hit = np.flatnonzero(maybe[few_bits(own)] & (ahead[: len(own)] >= n))
+            at = np.minimum(np.searchsorted(hashes, own[hit]), max(0, len(hashes) - 1))
+            if len(hashes):
+                good = hashes[at] == own[hit]
+                found[n, hit[good]] = numbers[at[good]]
+        last, length = np.full(len(cp), -1, np.int64), np.ones(len(cp), np.int64)
+        for end in range(1, int(size.max(initial=0)) + 1):
+            open_ = first[size >= end]
+            for n in range(min(end, self.longest), 0, -1):
+                start = open_ + end - n
+                piece = found[n, start]
+                able = np.flatnonzero(piece >= 0) if n > 1 else np.arange(len(start))
+                if not len(able):
+                    continue
+                if n < end:
+                    able = able[self.fit_all(last[start[able] - 1], piece[able])]
+                ends = open_[able] + end - 1
+                last[ends], length[ends] = piece[able], n
+                keep = np.ones(len(open_), bool)
+                keep[able] = False
+                open_ = open_[keep]
+                if not len(open_):
+                    break
+        begins = np.zeros(len(cp), bool)
+        of = np.full(len(cp), -1, np.int64)
+        low, at = first[size > 0], (first + size - 1)[size > 0]
+        while len(at):
+            start = at - length[at] + 1
+            begins[start], of[start] = True, last[at]
+            more = start > low
+            low, at = low[more], start[more] - 1
+        starts = np.flatnonzero(begins)
+        piece = of[starts]
+        width = np.ones(len(starts), np.int64)
+        odd = np.flatnonzero(piece < 0)
+        spelled = [[self.of_byte[b] for b in text[k].encode()] for k in starts[odd].tolist()]
+        width[odd] = [len(x) for x in spelled]
+        place = np.concatenate([[0], np.cumsum(width)])
+        ids = np.zeros(int(place[-1]), np.int32)
+        ids[place[:-1][piece >= 0]] = self.id_of[piece[piece >= 0]]
+        for k, x in zip(odd.tolist(), spelled):
+            ids[place[k] : place[k + 1]] = x
+        if len(self.beside) > 1.1 * len(self.pairs):
+            keys = np.fromiter(self.beside, np.int64, len(self.beside))
+            order = np.argsort(keys)
+            self.pairs, self.fit = keys[order], np.fromiter(self.beside.values(), bool, len(keys))[order]
+        return ids, np.append(place[np.searchsorted(starts, first)], place[-1])
+
+    def ids_of_texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where each begins and the last ends; a stretch is solved once."""
+        rows = [self.units(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
+        every = [u for r in rows for u in r]
+        index = {u: k for k, u in enumerate(dict.fromkeys(every))}
+        order = np.fromiter(map(index.__getitem__, every), np.int64, len(every))
+        short = [u for u in index if len(u) <= WIDEST]
+        wide = [u for u in index if len(u) > WIDEST]
+        flat, starts, shift = [], np.zeros(len(index) + 1, np.int64), 0
+        sizes = np.zeros(len(index), np.int64)
+        for some in (*(short[k : k + BATCH] for k in range(0, len(short), BATCH)), *([u] for u in wide)):
+            ids, ends = self.solve(some)
+            where = [index[u] for u in some]
+            starts[where], sizes[where] = ends[:-1] + shift, np.diff(ends)
+            flat.append(ids)
+            shift += len(ids)
+        solved = np.concatenate([np.zeros(0, np.int32), *flat])
+        count = sizes[order]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        ids = solved[np.repeat(starts[order] - ends[:-1], count) + np.arange(int(ends[-1]))]
+        return ids, ends[np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)]
+
+    def only_path(self, text: str) -> list[str]:
+        """The best path from the start of a text to its end in a merging model.
+
+        Up to each place one path alone has a finite weight, so the scan keeps its last
+        piece and looks no further than the first that fits, the longest being tried first.
+        """
+        last: list[str] = [""]
+        whole, beside, number, count, longest = self.whole, self.beside, self.number, self.count, self.longest
+        for end in range(1, len(text) + 1):
+            for start in range(max(0, end - longest), end):
+                piece = text[start:end]
+                if piece in whole or start + 1 == end:
+                    if start == 0:
+                        break
+                    left = last[start]
+                    have = beside.get(number[left] * count + number[piece]) if left in number and piece in number else True
+                    if have is None:
+                        have = self.fits(left, piece)
+                    if have:
+                        break
+            last.append(piece)
+        out, at = [], len(text)
+        while at:
+            out.append(last[at])
+            at -= len(last[at])
+        return out[::-1]
+
     def units(self, text: str) -> list[str]:
         return UNITS.findall(text) if self.meets else [text] if text else []
 
     def unit(self, text: str) -> list[str]:
         have = self.known.get(text)
         if have is None:
-            have = self.path(text, 0, len(text), None)[1]
+            have = self.only_path(text) if self.merging else self.path(text, 0, len(text), None)[1]
             if len(text) <= LONGEST:
                 if len(self.known) >= REMEMBERED:
                     self.known.clear()
@@ -204,21 +359,31 @@ class Pieces:
             entries += [(back, over, high - at, end - high, w) for end, (w, at) in found.items() if end >= high > at >= 0]
         return entries
 
-    def trace(self, text: str, low: int, high: int, left: tuple[int, int], right: tuple[int, int]) -> list[str]:
-        """The chunk's pieces between its two states; the piece of the right state is its last."""
+    def trace(self, text: str, low: int, high: int, left: tuple[int, int], right: tuple[int, int]) -> list[int]:
+        """Ids of the chunk's pieces between its two states; the piece of the right state is its last."""
         start, at = low + left[1], high - right[0]
         if start > at:  # one piece covers the whole chunk and belongs to an earlier one
             return []
         before = text[low - left[0] : start] if left[0] else None
         passed = [p for p in self.meeting(text, low, at) if p >= start and (p > low or not left[0])]
         if not passed:
-            out = self.path(text, start, at, before)[1]
+            out = self.numbers(self.path(text, start, at, before)[1])
         else:
-            out = self.path(text, start, passed[0], before)[1]
-            for u in self.units(text[passed[0] : passed[-1]]):
-                out = out + self.unit(u)
-            out = out + self.path(text, passed[-1], at, None)[1]
-        return [*out, text[at : high + right[1]]]
+            out = self.numbers(self.path(text, start, passed[0], before)[1])
+            out += self.ids_between(text[passed[0] : passed[-1]])
+            out += self.numbers(self.path(text, passed[-1], at, None)[1])
+        return out + self.numbers([text[at : high + right[1]]])
+
+    def ids_between(self, text: str) -> list[int]:
+        """Ids of a stretch between two places that all paths pass."""
+        units = self.units(text)
+        index = {u: k for k, u in enumerate(dict.fromkeys(units))}
+        narrow = [u for u in index if len(u) <= WIDEST]
+        solved: dict[str, list[int]] = {u: self.numbers(self.unit(u)) for u in index if len(u) > WIDEST}
+        ids, ends = self.solve(narrow)
+        flat = ids.tolist()
+        solved |= {u: flat[a:b] for u, a, b in zip(narrow, ends[:-1].tolist(), ends[1:].tolist())}
+        return [i for u in units for i in solved[u]]
 
     def numbers(self, pieces: list[str]) -> list[int]:
         out = []
@@ -232,10 +397,7 @@ class Pieces:
 
     def encode(self, text: str) -> list[int]:
         """A text of one chunk."""
-        out: list[int] = []
-        for u in self.units(BLANK + text.replace(" ", BLANK) if text else ""):
-            out += self.numbers(self.unit(u))
-        return out
+        return self.ids_of_texts([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         words = self.words
@@ -260,16 +422,9 @@ def ids_of(rows: list[list[int] | None]) -> pa.Array:
 def encoded(batches: Iterator[pa.RecordBatch], file: str) -> Iterator[pa.RecordBatch]:
     own = model(file)
     for batch in batches:
-        rows = []
-        for t in batch.column("text").to_pylist():
-            if t is None:
-                rows.append(None)
-                continue
-            out: list[int] = []
-            for u in own.units(BLANK + t.replace(" ", BLANK) if t else ""):
-                out += own.numbers(own.unit(u))
-            rows.append(out)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), ids_of(rows)], ["doc_id", "text", "ids"])
+        ids, ends = own.ids_of_texts(batch.column("text").to_pylist())
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids), mask=batch.column("text").is_null())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), lists], ["doc_id", "text", "ids"])
 
 
 def split(batches: Iterator[pa.RecordBatch], margin: int, size: int) -> Iterator[pa.RecordBatch]:
@@ -322,7 +477,7 @@ def traced(batches: Iterator[pa.RecordBatch], file: str) -> Iterator[pa.RecordBa
     own = model(file)
     for batch in batches:
         rows = [
-            own.numbers(own.trace(t, a, b, (p, q), (r, s)))
+            own.trace(t, a, b, (p, q), (r, s))
             for t, a, b, p, q, r, s in zip(*(batch.column(c).to_pylist() for c in ("body", "low", "high", "back", "over", "back2", "over2")))
         ]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "text_key", "no")), ids_of(rows)], ["doc_id", "text_key", "no", "ids"])
@@ -330,7 +485,7 @@ def traced(batches: Iterator[pa.RecordBatch], file: str) -> Iterator[pa.RecordBa
 
 def encode(documents: DataFrame, file: str | None = None) -> DataFrame:
     """``doc_id``, ``text`` and ``ids`` of every document."""
-    small_batches(documents.sparkSession, 250)
+    small_batches(documents.sparkSession)
     file = file or vocabulary_file()
     rows = documents.select("doc_id", "text")
     size, margin = CHUNK, 16

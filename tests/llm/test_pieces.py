@@ -38,7 +38,7 @@ def in_chunks(own, text, size, margin=16):
     table = pa.table({"doc_id": [1] * len(made), "text_key": [1] * len(made), "no": [m["no"] for m in made], "matrix": [np.array(own.transfer(m["body"], m["low"], m["high"], m["no"] == 0), float).tobytes() for m in made]})
     out = []
     for m, s in zip(made, pieces.scanned(table).to_pylist()):
-        out += own.numbers(own.trace(m["body"], m["low"], m["high"], (s["back"], s["over"]), (s["back2"], s["over2"])))
+        out += own.trace(m["body"], m["low"], m["high"], (s["back"], s["over"]), (s["back2"], s["over2"]))
     return out
 
 
