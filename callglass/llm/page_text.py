@@ -8,7 +8,8 @@ decision tree, grown from the labelled blocks below, tells main text from the re
 
 Defined results: a null page, a page without text or without main text has an empty text.
 Unclosed tags, attributes with ``>`` in quotes and cut-off character references are read
-the way browsers read them. Repeated rows give repeated results. Only ``page_id``, ``url``
+the way browsers read them: ``head`` needs no end tag, a self-closed ``svg`` or ``math`` is
+empty, and an open element without text ends with the element around it. Repeated rows give repeated results. Only ``page_id``, ``url``
 and ``html`` are read.
 """
 
@@ -33,7 +34,18 @@ BLOCKS = set(
 CONTAINERS = set("address article aside blockquote body details dialog div dl fieldset figure footer form header main menu nav ol section table td tr ul".split())
 MAIN = {"article", "main"}
 OTHER = {"aside", "dialog", "fieldset", "footer", "form", "menu", "nav"}
-UNSEEN = "audio button canvas head iframe math noscript object script select style svg template textarea video"
+#: Elements whose content is no markup: it ends at the element's end tag only.
+RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in "iframe noembed noframes noscript script style textarea title".split()}
+#: Elements with markup of no text of the page. They end at their end tag or at that of an element around them, which those in FENCES do not let through.
+UNSEEN = set("audio button canvas math object select svg template video".split())
+FOREIGN, INNER = {"svg", "math"}, set("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+FENCES = {"object", "select", "template"} | INNER
+#: Start tags that end an open svg or math, as HTML says, and those that end a select.
+BREAKOUT = set(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup "
+    "table tt u ul var article aside footer header main nav section".split()
+)
+AFTER_SELECT = set("select input textarea table caption tbody tfoot thead tr td th".split())
 # Words in class, id and role by which pages name their parts.
 OTHER_WORDS = set(
     "ad ads adv advert advertisement advertising adverts alert banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer "
@@ -44,7 +56,6 @@ OTHER_WORDS = set(
 MAIN_WORDS = set("article articlebody content entry main post story".split())
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<unseen>{UNSEEN.replace(' ', '|')})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=unseen)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\s*/?\s*[^\s\"'>/=]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]*))?)*?)\s*/?>"
     r"|</?[a-zA-Z][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
@@ -121,6 +132,77 @@ def marks(name: str, rest: str) -> tuple[bool, bool]:
     return main, other
 
 
+class Unseen:
+    """The open elements from the outermost unseen one inwards."""
+
+    def __init__(self) -> None:
+        self.open: list[tuple[str, bool, int]] = []  # name, whether markup in it is that of svg or math, place of the last fence
+        self.places: dict[str, list[int]] = {}
+
+    def __bool__(self) -> bool:
+        return bool(self.open)
+
+    @property
+    def foreign(self) -> bool:
+        return bool(self.open) and self.open[-1][1]
+
+    @property
+    def fence(self) -> int:
+        return self.open[-1][2] if self.open else -1
+
+    @property
+    def in_select(self) -> bool:
+        return self.fence >= 0 and self.open[self.fence][0] == "select"
+
+    def place(self, name: str) -> int:
+        return (self.places.get(name) or [-1])[-1]
+
+    def push(self, name: str) -> None:
+        foreign = name in FOREIGN or self.foreign and name not in INNER and name not in UNSEEN
+        self.places.setdefault(name, []).append(len(self.open))
+        self.open.append((name, foreign, len(self.open) if name in FENCES else self.fence))
+
+    def cut(self, place: int) -> None:
+        while len(self.open) > place:
+            self.places[self.open.pop()[0]].pop()
+
+    def break_out(self) -> None:
+        while self.foreign:
+            self.cut(len(self.open) - 1)
+
+    def start(self, name: str, empty: bool) -> bool:
+        """Reads a start tag; whether it is unseen itself."""
+        foreign = self.foreign
+        if foreign and name in BREAKOUT:
+            self.break_out()
+            foreign = False
+        elif self.in_select and name in AFTER_SELECT:
+            self.cut(self.fence)
+            if name == "select":  # HTML reads it as the end tag
+                return True
+        elif name == "button" and self.place("button") > self.fence:
+            self.cut(self.place("button"))
+        if not self.open and name not in UNSEEN:
+            return False
+        inside = name in UNSEEN or (name in INNER if foreign else name in BLOCKS and name not in ("p", "hr"))
+        if inside and not (empty and (foreign or name in FOREIGN)):
+            self.push(name)
+        return True
+
+    def end(self, name: str, around: list[tuple]) -> bool:
+        """Reads an end tag; whether it is unseen itself."""
+        if self.foreign and name in ("p", "br"):
+            self.break_out()
+        elif self.place(name) >= max(self.fence, 0):
+            self.cut(self.place(name))
+            return True
+        elif self.in_select and name in AFTER_SELECT and any(a[0] == name for a in around):
+            self.cut(self.fence)
+        elif name in BLOCKS and name != "p" and self.fence < 0 and (name not in CONTAINERS or any(a[0] == name for a in around)):
+            self.cut(0)
+        return bool(self.open)
+
+
 def blocks(html: str) -> list[tuple[str, int, int, bool, bool]]:
     """Text, words, words in links, in main text's element, named as other: of each block of a page, in order."""
     out: list[tuple[str, int, int, bool, bool]] = []
@@ -128,6 +210,7 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool]]:
     pieces: list[str] = []
     linked: list[str] = []
     main = other = own = in_link = False
+    unseen = Unseen()
 
     def close() -> None:
         nonlocal own
@@ -140,8 +223,8 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool]]:
         own = False
 
     at = 0
-    for tag in TAG.finditer(html):
-        if tag.start() > at:
+    while tag := TAG.search(html, at):
+        if tag.start() > at and not unseen:
             text = html[at : tag.start()]
             pieces.append(text)
             if in_link:
@@ -151,7 +234,15 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool]]:
         if name is None:
             continue
         name, end = name.lower(), bool(tag["end"])
-        if name == "a":
+        empty = "/" in html[tag.end("rest") : at]
+        if name in RAW and not end and not unseen.foreign:
+            if name == "textarea":
+                unseen.start(name, False)
+            stop = RAW[name].search(html, at)
+            at = stop.end() if stop else len(html)
+        elif (unseen or name in UNSEEN and not end) and (unseen.end(name, around) if end else unseen.start(name, empty)):
+            continue
+        elif name == "a":
             in_link = not end
         elif name == "br":
             pieces.append(" ")
@@ -172,7 +263,7 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool]]:
                 main, other = (around[-1][1], around[-1][2]) if around else (False, False)
             elif not end:
                 own = marks(name, tag["rest"])[1]
-    if at < len(html):
+    if at < len(html) and not unseen:
         pieces.append(html[at:])
         if in_link:
             linked.append(html[at:])

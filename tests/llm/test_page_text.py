@@ -67,3 +67,25 @@ def test_edges(spark):
     assert len(got) == 5 and got[0]["text"] == "" and got[1]["text"] == "" and got[2]["text"] == LONG.strip()
     assert got[3]["text"] == "\n".join(["w"] * 50_000)
     assert page_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string, text string").limit(0)).count() == 0
+
+
+def test_head_without_end_tag():
+    for start in ("<head><title>t</title><body>", "<head><title>t</title><script>var a = '<p>no'</script>", "<head><style>p{}</style><meta charset=utf-8><link href=x>"):
+        assert text(f"<html>{start}<article><p>real text</article>") == "real text"
+    assert text("<head><title>never closed <article><p>x") == "" and text("<article><header><h1>x</h1></header></article>") == "x"
+
+
+def test_self_closed_graphics_are_empty():
+    for empty in ("<svg/>", '<svg class="a" />', "<math/>", "<svg><path d='M0 0'/><svg/><title/><style/></svg>"):
+        assert text(f"<article><p>one</p>{empty}<p>two</p><svg><text>no</text></svg></article>") == "one\ntwo", empty
+    assert text("<article><p>one<svg class=a/><text>no</text></svg> two</article>") == "one two"  # the slash is the attribute's
+    assert text("<article><p>one<video/>no</video> two<svg-icon></svg-icon></article>") == "one two"
+
+
+def test_unseen_elements_end_where_browsers_end_them():
+    assert text("<article><div><button>no</div><p>one<svg><g>no<p>two<svg>no</p><p>three</article>") == "one\ntwo\nthree"
+    assert text("<article><p>one<svg>no<svg>no</svg>no<foreignObject><p>no</p></foreignObject>no</svg><p>two</article>") == "one\ntwo"
+    assert text("<article><template><div>no</article></div><p>no</template><p>one<select><option>no<p>no</div></select><p>two</article>") == "one\ntwo"
+    assert text("<article><p>one<select><option>no<input><p>two<object>no<object>no</object>no</object><p>three</article>") == "one\ntwo\nthree"
+    for many in ("<template>" + "<div>" * 50_000 + "</section>" * 50_000, "<svg>" * 50_000 + "</p>", "<template>" * 50_000 + "</div>" * 50_000):
+        assert text(f"<article><p>one{many}") == "one"
