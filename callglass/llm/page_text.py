@@ -4,7 +4,10 @@ A page is cut into flat blocks of text at block-level tags. A block has its word
 link density (share of words inside links), both of the block before and after, and two
 marks: whether it lies in an element that holds main text, and whether it or an element
 around it is named or typed as something else (menu, footer, advert, comment, form ...). A
-decision tree, grown from the labelled blocks below, tells main text from the rest.
+decision tree, grown from the labelled blocks below, tells main text from the rest. The
+second mark is not taken from body, from words of main or article, from classes of state
+(``has-sidebar``) or from a heading's id, and an article or main within a marked element
+that is neither comments nor hidden does not inherit it.
 
 Defined results: a null page, a page without text or without main text has an empty text.
 Unclosed tags, attributes with ``>`` in quotes and cut-off character references are read
@@ -19,6 +22,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +57,13 @@ OTHER_WORDS = set(
     "promo promoted promotion reader recommended related replies reply respond search share sharebar sharing sidebar signin signup skip social sponsor sponsored subscribe "
     "subscription taboola tags teaser toolbar topbar widget widgets contentinfo complementary".split()
 )
+COMMENT_WORDS = set("comment comments commentlist disqus discussion replies reply respond".split())
+#: Class words that tell a state of a page or part (has-sidebar, comments-open), not what it is.
+STATE = re.compile(r"^(?:has|no|not|with|without)(?=[-_A-Z])|[-_](?:open|opened|closed|enabled|disabled|on|off)$")
+#: Marks of a part that is something else: by its name or words, a form, comments, hidden.
+NAMED_OTHER, FORM, COMMENT, HIDDEN = 1, 2, 4, 8
+#: In place of the number of marked containers around it: an article named a comment.
+COMMENTS = 1 << 30
 MAIN_WORDS = set("article articlebody content entry main post story".split())
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -81,6 +92,9 @@ LABELLED = np.array([
     (12, 0.0, 30, 0.0, 90, 0.0, 1, 0, 1), (80, 0.0, 10, 0.0, 2, 0.0, 1, 0, 1), (300, 0.02, 50, 0.0, 60, 0.0, 1, 0, 1), (10, 0.0, 6, 1.0, 50, 0.0, 1, 0, 1),
     (25, 0.2, 40, 0.0, 30, 0.1, 1, 0, 1), (3, 0.0, 0, 0.0, 3, 0.0, 1, 0, 1), (9, 0.3, 30, 0.0, 50, 0.0, 1, 0, 1), (50, 0.0, 8, 1.0, 12, 0.0, 1, 0, 1),
     (2, 0.0, 90, 0.0, 7, 1.0, 1, 0, 1), (6, 0.0, 2, 1.0, 2, 1.0, 1, 0, 1), (15, 0.4, 70, 0.0, 5, 0.0, 1, 0, 1), (1, 0.0, 3, 1.0, 1, 0.0, 1, 0, 1),
+    # the same on pages whose body, article or wrapper has a state or a form's name, and headings named like other parts
+    (14, 0.0, 0, 0.0, 40, 0.0, 1, 0, 1), (2, 0.0, 40, 0.0, 60, 0.0, 1, 0, 1), (4, 0.0, 60, 0.0, 25, 0.0, 1, 0, 1), (1, 0.0, 25, 0.0, 14, 0.0, 1, 0, 1),
+    (70, 0.1, 4, 0.0, 3, 0.0, 1, 0, 1), (5, 0.0, 2, 1.0, 3, 1.0, 1, 0, 1), (2, 0.0, 70, 0.0, 40, 0.0, 1, 1, 0), (40, 0.0, 2, 0.0, 3, 0.0, 1, 1, 0),
     # pages without such an element
     (40, 0.0, 30, 0.0, 60, 0.0, 0, 0, 1), (90, 0.05, 3, 1.0, 70, 0.0, 0, 0, 1), (25, 0.0, 50, 0.0, 4, 0.0, 0, 0, 1), (150, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1),
     (18, 0.1, 40, 0.0, 30, 0.0, 0, 0, 1), (5, 0.0, 60, 0.0, 80, 0.0, 0, 0, 1), (1, 0.0, 50, 0.0, 45, 0.0, 0, 0, 1), (9, 0.0, 2, 1.0, 70, 0.0, 0, 0, 1),
@@ -116,22 +130,56 @@ class Tree:
 
 
 @lru_cache(65_536)
-def marks(name: str, rest: str) -> tuple[bool, bool]:
-    """Whether a start tag says main text, and whether it says something else."""
-    main, other = name in MAIN, name in OTHER
+def marks(name: str, rest: str) -> tuple[bool, int]:
+    """Whether a start tag says main text, and the marks by which it says something else.
+
+    Body and html have no marks. Words mark neither main nor article, except that an article
+    may be named a comment (see ``judged``). An id marks a container only, as that of a
+    heading or paragraph is made from its text.
+    """
+    main, other = name in MAIN, (FORM if name in ("form", "fieldset") else NAMED_OTHER) if name in OTHER else 0
+    if name in ("html", "body"):
+        return main, other
     for key, value in NAMED.findall(rest):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            other = True
-        elif key in ("class", "id", "role"):
-            found = {w.lower() for w in WORD.findall(value)}
+            other |= HIDDEN
+        elif name in MAIN:
+            if name == "article" and key == "class" and COMMENT_WORDS & set(value.lower().split()):
+                other |= COMMENT
+        elif key in ("class", "role") or key == "id" and name in CONTAINERS:
+            found = {w.lower() for token in value.split() if not STATE.search(token) for w in WORD.findall(token)}
             if found & OTHER_WORDS:
-                other = True
+                other |= COMMENT if found & COMMENT_WORDS else NAMED_OTHER
             elif found & MAIN_WORDS:
                 main = True
     return main, other
 
 
+class Part(NamedTuple):
+    """An open container: what it and those around it say."""
+
+    name: str = ""
+    main: bool = False
+    other: int = 0
+    #: Marked containers around it; whether it lies in an article or main, and the marked containers around the innermost of them.
+    marked: int = 0
+    inner: bool = False
+    level: int = 0
+
+
+def inside(part: Part, name: str, rest: str) -> Part:
+    """The part that a container's start tag opens."""
+    main, other = marks(name, rest)
+    if name == "header" and not part.main:  # of the page; an article's own header holds its heading
+        other |= NAMED_OTHER
+    marked = part.marked + bool(other & (NAMED_OTHER | FORM))
+    if name in MAIN:  # marks of what is around it are those of a wrapper, unless it is a comment or hidden
+        level = COMMENTS if other & COMMENT or part.level == COMMENTS else part.marked
+        return Part(name, True, part.other & (COMMENT | HIDDEN) | other & ~COMMENT, marked, True, level)
+    return Part(name, part.main or main, part.other | other, marked, part.inner, part.level)
+
+
 class Unseen:
     """The open elements from the outermost unseen one inwards."""
 
@@ -205,11 +253,11 @@ class Unseen:
 
 def blocks(html: str) -> list[tuple[str, int, int, bool, bool]]:
     """Text, words, words in links, in main text's element, named as other: of each block of a page, in order."""
-    out: list[tuple[str, int, int, bool, bool]] = []
-    around: list[tuple[str, bool, bool]] = []
+    out: list[tuple[str, int, int, Part, int]] = []
+    around = [Part()]
     pieces: list[str] = []
     linked: list[str] = []
-    main = other = own = in_link = False
+    own, in_link = 0, False
     unseen = Unseen()
 
     def close() -> None:
@@ -217,10 +265,10 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool]]:
         if pieces:
             words = unescape("".join(pieces)).split()
             if words:
-                out.append((" ".join(words), len(words), len(unescape(" ".join(linked)).split()), main, other or own))
+                out.append((" ".join(words), len(words), len(unescape(" ".join(linked)).split()), around[-1], around[-1].other | own))
             pieces.clear()
             linked.clear()
-        own = False
+        own = 0
 
     at = 0
     while tag := TAG.search(html, at):
@@ -251,16 +299,12 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool]]:
             in_link = False
             if name in CONTAINERS:
                 if end:
-                    for k in range(len(around) - 1, -1, -1):
-                        if around[k][0] == name:
+                    for k in range(len(around) - 1, 0, -1):
+                        if around[k].name == name:
                             del around[k:]
                             break
                 else:
-                    says_main, says_other = marks(name, tag["rest"])
-                    if name == "header":  # of the page; an article's own header holds its heading
-                        says_other |= not main
-                    around.append((name, main or says_main, other or says_other))
-                main, other = (around[-1][1], around[-1][2]) if around else (False, False)
+                    around.append(inside(around[-1], name, tag["rest"]))
             elif not end:
                 own = marks(name, tag["rest"])[1]
     if at < len(html) and not unseen:
@@ -268,7 +312,26 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool]]:
         if in_link:
             linked.append(html[at:])
     close()
-    return out
+    return judged(out)
+
+
+def judged(found: list[tuple[str, int, int, Part, int]]) -> list[tuple[str, int, int, bool, bool]]:
+    """Weighs a page's parts against each other.
+
+    Articles in marked containers (related articles, say) are main text unless articles in
+    fewer marked containers have more text. Articles named comments are main text only if
+    the page has no others (an opinion). A form that has more text than all else unmarked is
+    a wrapper of the page.
+    """
+    text: dict[int, int] = {}
+    for _, words, linked, part, other in found:
+        if part.inner and not other:
+            text[part.level] = text.get(part.level, 0) + words - linked
+    most = max(text, key=lambda level: (level < COMMENTS, text[level], -level), default=0)
+    others = [other or (NAMED_OTHER if part.inner and part.level > most else 0) for _, _, _, part, other in found]
+    plain, form = (sum(words - linked for (_, words, linked, _, _), other in zip(found, others) if other == kind) for kind in (0, FORM))
+    wrapper = form > plain
+    return [(t, words, linked, part.main, bool(other) and not (wrapper and other == FORM)) for (t, words, linked, part, _), other in zip(found, others)]
 
 
 def features(words: np.ndarray, linked: np.ndarray, main: np.ndarray, other: np.ndarray, page: np.ndarray) -> np.ndarray:

@@ -89,3 +89,39 @@ def test_unseen_elements_end_where_browsers_end_them():
     assert text("<article><p>one<select><option>no<input><p>two<object>no<object>no</object>no</object><p>three</article>") == "one\ntwo\nthree"
     for many in ("<template>" + "<div>" * 50_000 + "</section>" * 50_000, "<svg>" * 50_000 + "</p>", "<template>" * 50_000 + "</div>" * 50_000):
         assert text(f"<article><p>one{many}") == "one"
+
+
+MENU = "<ul class='menu'><li><a>One</a><li><a>Two</a></ul>"
+BODY = f"<h1>Head</h1><p>{LONG}<h2 id='search-and-navigation'>Search</h2><p id='notice'>{LONG}<h2 id='discussion'>Discussion</h2><p>Short."
+WANT = ["Head", LONG.strip(), "Search", LONG.strip(), "Discussion", "Short."]
+
+
+def test_states_and_wrappers_do_not_mark_the_article():
+    for page in (
+        "<html class='no-share has-menu'><body class='single has-sidebar'>{}<article>{}</article>",
+        "<body id='comments'>{}<article class='post comments-open'>{}</article>",
+        "<body>{}<main class='has-sidebar share' id='search'>{}</main>",
+        "<body><form id=form1>{}<article>{}</article></form>",
+        "<body><form id=form1>{}<div>{}</div></form>",
+        "<body><div class='layout sidebar'>{}<main>{}</main></div>",
+        "<body><div class='comments-open'>{}<article class='comment'>{}</article></div>",
+        "<body><div class='layout sidebar'><form>{}<main><article>{}</article></main></form></div>",
+    ):
+        got = text(page.format(MENU, BODY)).split("\n")
+        assert got == WANT if "<div>" not in page else {*WANT} - {"Head", "Search", "Discussion", "Short."} <= {*got} and "One" not in got, page
+
+
+def test_parts_that_stay_marked():
+    card = f"<article class='card'><p>{LONG}</article>"
+    for other in (
+        f"<section id='comments'><article><p>{LONG}</article><main><p>{LONG}</main></section>",
+        f"<div class='related'>{card}</div>",
+        f"<aside>{card}</aside>",
+        f"<div hidden>{card}</div><article style='display:none'><p>{LONG}</article>",
+        f"<article class='comment'><p>{LONG}</article>",
+        "<form><label>Your name</label><p>Write to us today.</p></form>",
+        f"<p class='notice'>{LONG}</p><h2 class='share'>Share</h2>",
+    ):
+        for start, end in (("<body>", ""), ("<body class='has-sidebar'><form><div class='layout sidebar'>", "</div></form>")):
+            assert text(f"{start}<article>{BODY}</article>{other}{end}").split("\n") == WANT, other
+            assert text(f"{start}<article>{BODY}{other}</article>{end}").split("\n") == WANT, other
