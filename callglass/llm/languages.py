@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,38 +129,56 @@ def mixtures(own: np.ndarray, gram: np.ndarray, logs: np.ndarray) -> tuple[np.nd
     return texts, best
 
 
+def answers(text: pa.Array, lettered: np.ndarray, names: list[str], logs: np.ndarray) -> tuple[list[str], np.ndarray, list[list[str]]]:
+    """Language, score and chosen set of each text."""
+    langs, scores, sets = ["und"] * len(text), np.zeros(len(text)), [[] for _ in range(len(text))]
+    for low, _, own, gram in trigrams(text) if names else ():
+        if not len(own):
+            continue
+        texts, shares = mixtures(own, gram.astype(np.int64), logs)
+        for t, s in zip((texts + low).tolist(), shares):
+            if lettered[t]:
+                k = int(s.argmax())
+                langs[t], scores[t] = names[k], min(1.0, float(s[k]))
+                sets[t] = [names[i] for i in np.argsort(-s, kind="stable") if s[i] > 0]
+    for t in np.flatnonzero(lettered & (scores == 0)) if names else ():  # letters of no known trigram: nothing speaks for any language
+        langs[t], scores[t], sets[t] = names[0], 1 / len(names), names
+    return langs, scores, sets
+
+
 def predicted(batches: Iterator[pa.RecordBatch], names: list[str], logs: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lettered = batch.column("lettered").to_numpy(zero_copy_only=False)
-        langs, scores, sets = ["und"] * batch.num_rows, np.zeros(batch.num_rows), [[] for _ in range(batch.num_rows)]
-        for low, _, own, gram in trigrams(batch.column("text")) if names else ():
-            if not len(own):
-                continue
-            texts, shares = mixtures(own, gram.astype(np.int64), logs)
-            for t, s in zip((texts + low).tolist(), shares):
-                if lettered[t]:
-                    k = int(s.argmax())
-                    langs[t], scores[t] = names[k], min(1.0, float(s[k]))
-                    sets[t] = [names[i] for i in np.argsort(-s, kind="stable") if s[i] > 0]
-        for t in np.flatnonzero(lettered & (scores == 0)) if names else ():  # letters of no known trigram: nothing speaks for any language
-            langs[t], scores[t], sets[t] = names[0], 1 / len(names), names
+        langs, scores, sets = answers(batch.column("text"), batch.column("lettered").to_numpy(zero_copy_only=False), names, logs)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores), pa.array(sets, pa.list_(pa.string()))],
             ["doc_id", "held_out", "lang_pred", "score", "languages"],
         )
 
 
+def led(batches: Iterator[pa.RecordBatch], names: list[str], logs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows whose own text is in a language that leads."""
+    for batch in batches:
+        langs, scores, _ = answers(batch.column("__lower"), batch.column("__lettered").to_numpy(zero_copy_only=False), names, logs)
+        yield batch.drop_columns(["__lower", "__lettered"]).filter(pa.array((np.array(langs, object) != "und") & (scores >= LEAST_SHARE), pa.bool_()))
+
+
+def lettered() -> Column:
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+
+def model(documents: DataFrame) -> Broadcast:
+    small_batches(documents.sparkSession)
+    return documents.sparkSession.sparkContext.broadcast(learned(documents))
+
+
 def identified(documents: DataFrame) -> DataFrame:
     """``doc_id``, ``held_out``, ``lang_pred``, ``score`` and ``languages`` (the chosen set) of every document."""
-    spark = documents.sparkSession
-    small_batches(spark)
-    names, logs = learned(documents)
-    model = spark.sparkContext.broadcast((names, logs))
-    rows = documents.select("doc_id", held_out().alias("held_out"), F.lower("text").alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
-    return mapped(rows, lambda b: predicted(b, *model.value), "doc_id long, held_out boolean, lang_pred string, score double, languages array<string>")
+    sent = model(documents)
+    rows = documents.select("doc_id", held_out().alias("held_out"), F.lower("text").alias("text"), lettered().alias("lettered"))
+    return mapped(rows, lambda b: predicted(b, *sent.value), "doc_id long, held_out boolean, lang_pred string, score double, languages array<string>")
 
 
 def recognised(documents: DataFrame) -> DataFrame:
-    """The documents without those in no language (``und``) or in none that leads."""
-    found = identified(documents).where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SHARE)).select(F.col("doc_id").alias("__rejected")).distinct()
-    return documents.join(found, F.col("doc_id").eqNullSafe(F.col("__rejected")), "left_anti")
+    """The documents without those in no language (``und``) or in none that leads. Each row is judged by its own text, whatever its ``doc_id``."""
+    sent = model(documents)
+    return mapped(documents.select("*", F.lower("text").alias("__lower"), lettered().alias("__lettered")), lambda b: led(b, *sent.value), documents.schema)

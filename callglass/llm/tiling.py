@@ -24,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callglass.llm.words import NO_LETTER, chunks, mapped, small_batches, windows
+from callglass.llm.words import NO_LETTER, Words, chunks, mapped, small_batches, windows
 
 #: Words of a seed, which is also the shortest tile.
 SEED = 5
@@ -108,22 +109,35 @@ def item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[n
         yield batch.column("item_id").to_pylist(), [c.hashes[a:b] for a, b in zip(c.first[:-1], c.first[1:])]
 
 
+def hits(c: Words, items: Benchmark, coverage: float) -> Iterator[tuple[int, tuple]]:
+    """Text and pair of each text and item that tiles cover."""
+    owner, at = c.runs(SEED)
+    doc, item, where, place = items.pairs(owner, at, windows(c.hashes, SEED)[at] if len(at) else np.zeros(0, np.uint64))
+    order = np.lexsort((place, where, item, doc))
+    doc, item, where, place = (x[order] for x in (doc, item, where, place))
+    head = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]))) if len(doc) else []
+    for low, high in zip(head, [*head[1:], len(doc)]):
+        found = items.tile(int(item[low]), c.hashes, where[low:high], place[low:high], coverage)
+        if found:
+            yield int(doc[low]), found
+
+
 def search(batches: Iterator[pa.RecordBatch], items: Benchmark, coverage: float) -> Iterator[pa.RecordBatch]:
     for batch, c in chunks(batches, lower=True, space=NO_LETTER):
-        owner, at = c.runs(SEED)
-        doc, item, where, place = items.pairs(owner, at, windows(c.hashes, SEED)[at] if len(at) else np.zeros(0, np.uint64))
-        order = np.lexsort((place, where, item, doc))
-        doc, item, where, place = (x[order] for x in (doc, item, where, place))
-        head = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]))) if len(doc) else []
-        ids, rows = batch.column("doc_id"), []
-        for low, high in zip(head, [*head[1:], len(doc)]):
-            found = items.tile(int(item[low]), c.hashes, where[low:high], place[low:high], coverage)
-            if found:
-                rows.append((ids[int(doc[low])].as_py(), *found))
+        ids = batch.column("doc_id")
+        rows = [(ids[doc].as_py(), *found) for doc, found in hits(c, items, coverage)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), ARROW)], schema=ARROW)
 
 
+def free(batches: Iterator[pa.RecordBatch], items: Benchmark, coverage: float) -> Iterator[pa.RecordBatch]:
+    """The rows whose own text covers no item."""
+    for batch, c in chunks(batches, lower=True, space=NO_LETTER):
+        keep = np.ones(batch.num_rows, bool)
+        keep[[doc for doc, _ in hits(c, items, coverage)]] = False
+        yield batch.filter(pa.array(keep))
+
+
 def seeds_of(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
     """Distinct seeds of each text with its id and a key of its text."""
     for batch, c in chunks(batches, lower=True, space=NO_LETTER):
@@ -134,41 +148,57 @@ def seeds_of(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), batch.column(name).take(row), batch.column("text_key").take(row)], ["seed", name, "text_key"])
 
 
-def search_pairs(batches: Iterator[pa.RecordBatch], coverage: float) -> Iterator[pa.RecordBatch]:
-    """The same for rows of a document and an item."""
+def search_pairs(batches: Iterator[pa.RecordBatch], coverage: float, keys: bool = False) -> Iterator[pa.RecordBatch]:
+    """The same for rows of a document and an item; with ``keys`` only the document's id and key of its text."""
     for batch in batches:
         items = pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("item_text")], ["item_id", "text"])
         words = [w for _, ws in item_words(iter([items])) for w in ws]
         for k in range(batch.num_rows):
-            own = Benchmark([batch.column("item_id")[k].as_py()], [words[k]])
-            yield from search(iter([batch.slice(k, 1).select(["doc_id", "text"])]), own, coverage)
+            own, row = Benchmark([batch.column("item_id")[k].as_py()], [words[k]]), batch.slice(k, 1)
+            for found in search(iter([row.select(["doc_id", "text"])]), own, coverage):
+                yield row.select(["doc_id", "text_key"]) if keys else found
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> DataFrame:
-    """Pairs of a document and an item whose words tiles cover: ``doc_id``, ``item_id``, ``item_words``, ``tiles``, ``covered``, ``coverage``."""
-    spark = documents.sparkSession
+def sent(benchmark: DataFrame) -> tuple[DataFrame, Broadcast | None]:
+    """The items with a text, and their ids and words for all tasks if they are few."""
+    spark = benchmark.sparkSession
     small_batches(spark)
     items = benchmark.select("item_id", "text").where("text is not null")
     size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
-    if size["n"] <= SENT_ITEMS and size["bytes"] <= SENT_BYTES:
-        rows = items.collect()
-        batch = pa.RecordBatch.from_arrays([pa.array([r["item_id"] for r in rows], pa.int64()), pa.array([r["text"] for r in rows], pa.string())], ["item_id", "text"])
-        found = list(item_words(iter([batch])))
-        sent = spark.sparkContext.broadcast(([i for ids, _ in found for i in ids], [w for _, ws in found for w in ws]))
-        return mapped(documents.select("doc_id", "text"), lambda b: search(b, Benchmark(*sent.value), coverage), PAIRS)
+    if size["n"] > SENT_ITEMS or size["bytes"] > SENT_BYTES:
+        return items, None
+    rows = items.collect()
+    batch = pa.RecordBatch.from_arrays([pa.array([r["item_id"] for r in rows], pa.int64()), pa.array([r["text"] for r in rows], pa.string())], ["item_id", "text"])
+    found = list(item_words(iter([batch])))
+    return items, spark.sparkContext.broadcast(([i for ids, _ in found for i in ids], [w for _, ws in found for w in ws]))
+
+
+def seeded(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """Documents beside the items with which they share a seed."""
     keyed = documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     tests = items.select("item_id", F.xxhash64("text").alias("text_key"), "text")
     own = mapped(keyed, lambda b: seeds_of(b, "doc_id"), "seed long, doc_id long, text_key long")
     theirs = mapped(tests, lambda b: seeds_of(b, "item_id"), "seed long, item_id long, text_key long").withColumnRenamed("text_key", "item_key")
     pairs = own.join(theirs, "seed").select("doc_id", "text_key", "item_id", "item_key").distinct()
     pairs = pairs.withColumnsRenamed({"doc_id": "d", "text_key": "dk", "item_id": "i", "item_key": "ik"})
-    both = keyed.join(pairs, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("dk"))).drop("text_key", "d", "dk")
+    both = keyed.join(pairs, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("dk"))).drop("d", "dk")
     tests = tests.withColumnsRenamed({"text": "item_text", "text_key": "item_key"})
-    both = both.join(tests, tests["item_id"].eqNullSafe(both["i"]) & (tests["item_key"] == both["ik"])).select("doc_id", "text", "item_id", "item_text")
-    return mapped(both, lambda b: search_pairs(b, coverage), PAIRS)
+    return both.join(tests, tests["item_id"].eqNullSafe(both["i"]) & (tests["item_key"] == both["ik"])).select("doc_id", "text_key", "text", "item_id", "item_text")
+
+
+def contaminated(documents: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> DataFrame:
+    """Pairs of a document and an item whose words tiles cover: ``doc_id``, ``item_id``, ``item_words``, ``tiles``, ``covered``, ``coverage``."""
+    items, few = sent(benchmark)
+    if few is not None:
+        return mapped(documents.select("doc_id", "text"), lambda b: search(b, Benchmark(*few.value), coverage), PAIRS)
+    return mapped(seeded(documents, items), lambda b: search_pairs(b, coverage), PAIRS)
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> DataFrame:
-    """The documents of which no benchmark item is covered."""
-    found = contaminated(documents, benchmark, coverage).select(F.col("doc_id").alias("__found")).distinct()
-    return documents.join(found, F.col("doc_id").eqNullSafe(F.col("__found")), "left_anti")
+    """The documents of which no benchmark item is covered. Each row is judged by its own text, whatever its ``doc_id``."""
+    items, few = sent(benchmark)
+    if few is not None:
+        return mapped(documents, lambda b: free(b, Benchmark(*few.value), coverage), documents.schema)
+    found = mapped(seeded(documents, items), lambda b: search_pairs(b, coverage, keys=True), "doc_id long, text_key long").distinct()
+    found = found.withColumnsRenamed({"doc_id": "__id", "text_key": "__key"})
+    return documents.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left_anti")

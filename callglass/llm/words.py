@@ -13,6 +13,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Rows and bytes of one Arrow batch, and bytes of text handled at once.
 BATCH, BATCH_BYTES, CHUNK = 1_000, 4_000_000, 2_000_000
@@ -145,7 +146,7 @@ def small_batches(spark: SparkSession, rows: int = BATCH) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [home, known]))
 
 
-def mapped(df: DataFrame, function, schema: str) -> DataFrame:
+def mapped(df: DataFrame, function, schema: str | StructType) -> DataFrame:
     """``function`` turns the Arrow batches of a partition into others, one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

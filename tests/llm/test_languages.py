@@ -61,3 +61,9 @@ def test_shares_maximise_the_likelihood():
     share, fit = languages.fitted(likely, count, np.array([0]), np.zeros(50, int), np.array([[0.5, 0.5]]), 400)
     grid = [(np.log(likely @ [p, 1 - p]) * count).sum() for p in np.linspace(0.001, 0.999, 999)]
     assert fit[0] >= max(grid) - 1e-3
+
+
+def test_rejection_judges_each_row_by_its_text(spark):
+    extra = spark.createDataFrame([(i, t, None, "s", 0) for i in (None, 2000) for t in (None, "12", ENGLISH, ENGLISH)], DOCUMENTS)
+    kept = languages.recognised(learning(spark, []).union(extra)).where("lang is null").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, ENGLISH)] * 2 + [(2000, ENGLISH)] * 2

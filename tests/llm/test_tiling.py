@@ -90,3 +90,12 @@ def test_null_and_repeated_ids(spark):
     rows = spark.createDataFrame([(None, item), (1, item), (1, item), (1, "z")], "doc_id long, text string")
     got = tiling.contaminated(rows, tests).collect()
     assert sorted(r["doc_id"] or -1 for r in got) == [-1, 1, 1] and {r["item_id"] for r in got} == {None}
+
+
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_clean_judges_each_row_by_its_text(spark, monkeypatch, sent):
+    monkeypatch.setattr(tiling, "SENT_ITEMS", sent)
+    item = "alpha beta gamma delta epsilon zeta"
+    tests = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = spark.createDataFrame([(None, "x " + item), (None, "clean"), (None, None), (1, item), (1, "clean"), (1, "clean")], "doc_id long, text string")
+    assert sorted(map(str, tiling.clean(rows, tests).collect())) == sorted(map(str, rows.collect()[1:3] + rows.collect()[4:]))
