@@ -488,7 +488,7 @@ def encode(documents: DataFrame, file: str | None = None) -> DataFrame:
     small_batches(documents.sparkSession)
     file = file or vocabulary_file()
     rows = documents.select("doc_id", "text")
-    size, margin = CHUNK, 16
+    size, margin = CHUNK, model(file).longest
     short = mapped(rows.where(F.coalesce(F.length("text"), F.lit(0)) < size), lambda b: encoded(b, file), "doc_id long, text string, ids array<int>")
     key = F.xxhash64("text").alias("text_key")
     long = rows.where(F.length("text") >= size).select("doc_id", key, "text")

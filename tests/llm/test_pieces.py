@@ -92,3 +92,20 @@ def test_edges(spark, monkeypatch):
     got = pieces.encoded_documents(df).collect()
     assert len(got) == 5 and all(r["round_trip"] for r in got)
     assert pieces.encoded_documents(df.limit(0)).count() == 0
+
+
+def test_models_with_longer_pieces(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(pieces, "CHUNK", 50)
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(36)) for _ in range(6)]
+    lines = [" ".join(rng.choice(words) for _ in range(5)) for _ in range(200)]
+    sentencepiece.SentencePieceTrainer.train(
+        sentence_iterator=iter(lines), model_prefix=str(tmp_path / "long"), model_type="bpe", vocab_size=490, max_sentencepiece_length=40, byte_fallback=True,
+        hard_vocab_limit=False, normalization_rule_name="identity", remove_extra_whitespaces=False, minloglevel=2,
+    )
+    file = str(tmp_path / "long.model")
+    library, own = sentencepiece.SentencePieceProcessor(model_file=file), pieces.model(file)
+    assert own.longest > 16
+    texts = [" ".join(rng.choice(words)[rng.randint(0, 9) :] for _ in range(12)) for _ in range(30)] + lines[:20]
+    got = {r["doc_id"]: r["ids"] for r in pieces.encode(documents(spark, texts), file).collect()}
+    assert got == {i: library.encode(t) for i, t in enumerate(texts)}
