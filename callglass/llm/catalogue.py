@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from callglass.llm import hilbert, jaccard_trie, languages, near_vectors, page_text, pieces, repeats, tiling, token_trees, toxicity
+from callglass.llm import chat_format, hilbert, jaccard_trie, languages, near_vectors, page_text, pieces, repeats, tiling, token_trees, toxicity
 from callglass.session import configure
 
 
@@ -55,6 +55,10 @@ def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.formatted_digests(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_sentence_pieces": op2_sentence_pieces,
@@ -66,7 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_page_text": op8_page_text,
     "op9_toxicity": op9_toxicity,
     "op10_string_tiling": op10_string_tiling,
+    "op13_chat_parts": op13_chat_parts,
     "pipeline": corpus_pipeline.run,
 }
 
-SQL: dict[str, str] = {"op5_near_vectors": near_vectors.SQL}
+SQL: dict[str, str] = {"op5_near_vectors": near_vectors.SQL, "op13_chat_parts": chat_format.SQL}
