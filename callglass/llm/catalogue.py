@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from callglass.llm import chat_format, hilbert, jaccard_trie, languages, near_vectors, page_text, pieces, repeats, tiling, token_trees, toxicity
+from callglass.llm import chat_format, hilbert, jaccard_trie, languages, near_vectors, page_text, pieces, repeats, tiling, token_trees, toxicity, whitening
 from callglass.session import configure
 
 
@@ -55,6 +55,10 @@ def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def op13_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.formatted_digests(table(spark, sf_dir, "conversations"))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_page_text": op8_page_text,
     "op9_toxicity": op9_toxicity,
     "op10_string_tiling": op10_string_tiling,
+    "op11_whitened": op11_whitened,
     "op13_chat_parts": op13_chat_parts,
     "pipeline": corpus_pipeline.run,
 }

@@ -18,9 +18,9 @@ Turns are visited row by row. A conversation is put together in blocks of turn n
 pieces of at most 64 turns, so that a long conversation is many rows and offsets stay small.
 
 Defined results: turns are ordered by turn (null first), equal numbers by their formatted
-text, so by role first; repeated rows are repeated turns. A null role, text or list of parts counts as empty, so does a part of
-unknown kind. Rows without ``conv_id`` form one conversation of their own. Extra columns are
-not read. No rows give no conversations.
+text, so by role first; repeated rows are repeated turns. A null role, text or list of parts
+counts as empty, so does a part of unknown kind. Rows without ``conv_id`` form one
+conversation of their own. Extra columns are not read. No rows give no conversations.
 """
 
 from __future__ import annotations
