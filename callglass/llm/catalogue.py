@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from callglass.llm import chat_format, hilbert, jaccard_trie, languages, near_vectors, page_text, pieces, repeats, tiling, token_trees, toxicity, whitening
+from callglass.llm import (
+    alignment, chat_format, hilbert, jaccard_trie, languages, near_vectors, page_text, pieces, repeats, tiling, token_trees, toxicity, whitening,
+)
 from callglass.session import configure
 
 
@@ -59,6 +61,10 @@ def op11_whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
 
+def op12_aligned_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"))
+
+
 def op13_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.formatted_digests(table(spark, sf_dir, "conversations"))
 
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_string_tiling": op10_string_tiling,
     "op11_whitened": op11_whitened,
+    "op12_aligned_tokens": op12_aligned_tokens,
     "op13_chat_parts": op13_chat_parts,
     "pipeline": corpus_pipeline.run,
 }
