@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from callglass import schema as S
-from callglass.operators.blocks import positions
+from callglass.operators.blocks import ROWS, even_positions
 from callglass.operators.metrics import as_timestamp
 
 ERROR_COLUMNS = ["id", "provider", "model", "status", "started_at", "latency_ms", "ttft_ms", "error_type",
@@ -87,17 +87,15 @@ def fetch_page(
     return rows, Cursor(last["started_at"], last["id"]) if last else None
 
 
-def export_pages(calls: DataFrame, limit: int = S.DEFAULT_PAGE) -> DataFrame:
+def export_pages(calls: DataFrame, limit: int = S.DEFAULT_PAGE, rows: int = ROWS) -> DataFrame:
     """All pages at once: what following cursors to the end yields, with the page number.
 
-    Numbered per hour and offset by the hours after it, then one range-partitioned sort.
+    Numbered in blocks of about ``rows`` calls, also where all started at one moment, then
+    one range-partitioned sort.
     """
-    numbered = positions(
-        calls, [], [F.desc("started_at"), F.desc("id")], F.date_trunc("hour", "started_at"), "_no",
-        descending_blocks=True,
-    )
-    paged = numbered.withColumn("page_no", F.ceil(F.col("_no") / F.lit(limit)).cast("long")).drop("_no")
-    return paged.orderBy(F.desc("started_at"), F.desc("id"))
+    newest_first = [F.desc("started_at"), F.desc("id")]
+    numbered = even_positions(calls, newest_first, "_no", rows)
+    return numbered.withColumn("page_no", F.ceil(F.col("_no") / F.lit(limit)).cast("long")).drop("_no").orderBy(*newest_first)
 
 
 def recent_errors(calls: DataFrame, limit: int = S.DEFAULT_PAGE) -> DataFrame:

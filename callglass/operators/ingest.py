@@ -44,10 +44,19 @@ def check(envelopes: DataFrame) -> DataFrame:
     return checked.withColumn("reason", contract.reject_reason())
 
 
+def judged(checked: DataFrame) -> DataFrame:
+    """A checked delivery without its parsed document, and with its event only if that is valid: what a batch keeps."""
+    return checked.select(
+        "delivery_id", "data", "id", F.when(F.col("id").isNotNull(), contract.event_type()).alias("event_type"),
+        F.when(F.col("reason").isNull(), F.col("event")).alias("event"), "problems", "reason",
+    )
+
+
 def raw_rows(checked: DataFrame) -> DataFrame:
     """Raw landing: first payload per usable id, before any judgement on it."""
+    kind = F.col("event_type") if "event_type" in checked.columns else contract.event_type()
     usable = checked.where(F.col("id").isNotNull()).select(
-        "id", "delivery_id", contract.event_type().alias("event_type"), F.col("data").alias("payload")
+        "id", "delivery_id", kind.alias("event_type"), F.col("data").alias("payload")
     )
     return first_per_id(usable)
 
@@ -115,7 +124,7 @@ def state_of(checked: DataFrame) -> DataFrame:
 def latest_attempt(attempt_rows: DataFrame, order: list[str]) -> DataFrame:
     """Status and time of the last attempt per id; a success clears the error. Combines map-side."""
     told = [c for c in ("processing_status", "processing_error", "processed_at") if c in attempt_rows.columns]
-    last = F.max(F.struct(*order, *told)).alias("_last")
+    last = F.max(F.struct(*order, *[c for c in told if c not in order])).alias("_last")
     return attempt_rows.groupBy("id").agg(last).select("id", *[F.col(f"_last.{c}") for c in told])
 
 

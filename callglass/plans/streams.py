@@ -51,6 +51,17 @@ def store(g: Given) -> Store:
     return target
 
 
+#: Filled stores by data folder and application; queries that only read may share one.
+_stores: dict[tuple[str, str], Store] = {}
+
+
+def shared_store(g: Given) -> Store:
+    key = (g.spark.sparkContext.applicationId, g.folder)
+    if key not in _stores:
+        _stores[key] = store(g)
+    return _stores[key]
+
+
 def stored_logs(g: Given) -> DataFrame:
     return store(g).read("logs").select(*ROW_COLUMNS, F.to_json("raw_metadata").alias("raw_metadata"))
 

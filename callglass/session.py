@@ -58,14 +58,65 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _located(spark: SparkSession, name: str):
+    """A Hadoop path and the file system it lies in."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
 def delete_path(spark: SparkSession, pattern: str) -> None:
     """Deletes what a path pattern names, in whatever file system it lies."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    path, files = _located(spark, pattern)
     for found in files.globStatus(path) or []:
         files.delete(found.getPath(), True)
 
 
+def delete_exactly(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes these paths, as many as exist, without listing any folder."""
+    for name in paths:
+        path, files = _located(spark, name)
+        files.delete(path, True)
+
+
+def exist(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of the paths that are there."""
+    return [name for name in paths if (at := _located(spark, name))[1].exists(at[0])]
+
+
+def write_text(spark: SparkSession, name: str, text: str) -> None:
+    """Writes a small file so that it appears whole or not at all: under another name first, then renamed."""
+    draft, files = _located(spark, f"{name}.{uuid.uuid4().hex}.draft")
+    out = files.create(draft, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    path, _ = _located(spark, name)
+    files.delete(path, False)
+    if not files.rename(draft, path):
+        raise OSError(f"could not write {name}")
+
+
+def read_text(spark: SparkSession, name: str) -> str | None:
+    """A small file's text; None if it is not there."""
+    path, files = _located(spark, name)
+    if not files.exists(path):
+        return None
+    source = files.open(path)
+    try:
+        return bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the finished files of a folder, in order; none if there is no folder."""
+    path, files = _located(spark, folder)
+    if not files.exists(path):
+        return []
+    return sorted(n for n in (f.getPath().getName() for f in files.listStatus(path)) if not n.endswith(".draft"))
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Mark ``df`` for broadcast when a count shows at most ``max_rows`` rows.
 
