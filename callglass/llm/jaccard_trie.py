@@ -38,10 +38,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callglass.llm.components import connected, stored
-from callglass.llm.words import Words, chunks, mapped, scrambled, small_batches, whole_groups, windows
+from callglass.llm.words import MASK, Words, chunks, mapped, scrambled, small_batches, whole_groups, windows
 
 #: Bytes of text in a block, texts of a task whose copies are known, places of an n-gram in a block that travel with it.
-CHUNK, REMEMBERED, FEW = 4_000_000, 300_000, 32
+CHUNK, REMEMBERED, FEW = 2_000_000, 200_000, 32
 #: Sets in a bucket before it is split, and about how many of them go into all parts. A set of many n-grams counts as one for each ``USUAL``.
 BUCKET, SHARED, USUAL = 2_048, 64, 1_000
 #: Bytes of an n-gram's hash, of its place in a block, and of its count, as they travel.
@@ -114,10 +114,11 @@ def slices(batches: Iterator[pa.RecordBatch], size: int, parts: int) -> Iterator
         rows, sent = [], np.zeros(len(own), bool)
         for k, (doc, count, x, y) in enumerate(zip(own, n.tolist(), d1.tolist(), d2.tolist())):
             rows.append((MEMBER, hash((serial, k)) % parts, serial + k, None, None, None, doc, count, x, y))
-            if doc is not None and count and (x, y) not in seen:
+            both = (x & MASK) << 64 | y & MASK
+            if doc is not None and count and both not in seen:
                 if len(seen) >= REMEMBERED:
                     seen.clear()
-                seen.add((x, y))
+                seen.add(both)
                 sent[k] = True
         rows.append((META, serial % parts, serial, np.stack([d1, d2], 1).tobytes(), n.astype(np.uint32).tobytes(), None, None, None, None, None))
         keep = sent[o]
@@ -436,11 +437,12 @@ def joined(documents: DataFrame, size: int = 5, similarity: tuple[int, int] = (4
     found = mapped(counted.repartition("block").sortWithinPartitions("block"), lambda b: shared_sets(b, t), ROWS)
     found = stored(found.select("kind", "doc_id", "n", "d1", "d2", "a"), "gram-sets")
     members = found.where(F.col("kind") == MEMBER).select("doc_id", "n", "d1", "d2")
-    classes = members.where("doc_id is not null and n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    classes = members.where("doc_id is not null and n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least_id"))
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # ids may be shared, numbers are not
     sets = found.where(F.col("kind") == SET).select("d1", "d2", "n", "a")
     grams = mapped(sets, lambda b: prefixes(b, t), "gram long, place int, spare long, n int, d1 long, d2 long").distinct()
     several = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.max("spare").alias("most")).where("m > 1").select("gram", "most")
-    able = stored(grams.join(several, "gram").where("spare + most >= 0").select("gram", "place", "n", "d1", "d2").join(classes, ["d1", "d2"]), "prefixes")
+    able = stored(grams.join(several, "gram").where("spare + most >= 0").select("gram", "place", "n", "d1", "d2").join(classes.drop("least_id"), ["d1", "d2"]), "prefixes")
     shared = stored(able.join(able.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("least")).where("m > 1").drop("m"), "gram"), "shared")
     groups = connected(shared.select(F.col("rep").alias("a"), F.col("least").alias("b"))).withColumnsRenamed({"node": "rep", "component": "group"})
     members_of = shared.select("rep", "n", "d1", "d2").distinct().join(groups, "rep")
@@ -454,17 +456,20 @@ def joined(documents: DataFrame, size: int = 5, similarity: tuple[int, int] = (4
         near = stored(met(placed(visits), sets, t), "near")
         more = stored(met(open_visits(shared, connected(near), visits.select("who", "m").distinct()), sets, t), "near")
         links = links.union(near).union(more)
-    whole = connected(links).select(F.col("node").alias("rep"), "component")
-    labels = classes.join(whole, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
+    whole = stored(connected(links).select(F.col("node").alias("rep"), "component").join(classes.select("rep", "least_id"), "rep"), "components")
+    least = whole.groupBy("component").agg(F.min("least_id").alias("first_id"))
+    whole = whole.join(least, "component").select("rep", "first_id")
+    labels = classes.join(whole, "rep", "left").select("d1", "d2", F.coalesce("first_id", "least_id").alias("component"))
     out = members.join(labels, ["d1", "d2"], "left")
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
 def ids_in_several_classes(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows of one ``doc_id`` with different sets link their classes."""
-    own = members.where("doc_id is not null and n > 0").join(classes, ["d1", "d2"]).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.collect_set("rep").alias("reps"))
-    return own.where("a <> b").select("a", F.explode("reps").alias("b"))
+    """Rows of one ``doc_id`` with different sets link their classes, each with the id's least."""
+    own = members.where("doc_id is not null and n > 0").join(classes.drop("least_id"), ["d1", "d2"]).select("doc_id", "rep").distinct()
+    least = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).where("a <> most").drop("most")
+    return own.join(least, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b"))
 
 
 def first_of_each(documents: DataFrame, size: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:

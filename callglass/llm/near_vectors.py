@@ -168,10 +168,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.col("size") > 0) & ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     sound &= F.exists("embedding", lambda v: v != 0)
     good = rows.where(sound)
-    classes = stored(good.groupBy("label", "size", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    classes = good.groupBy("label", "size", "embedding").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # ids may be shared, numbers are not
     turn = spark.sparkContext.broadcast(directions(classes))
     width = float(np.sqrt(max(0.0, 2 - 2 * least))) * (1 + 1e-6) + 1e-6
-    placed = mapped(classes, lambda b: cells(b, turn.value, width), "label int, size int, embedding array<double>, rep long, copies long, x int, y int")
+    placed = mapped(classes.select("label", "size", "embedding", "rep", "copies"), lambda b: cells(b, turn.value, width), "label int, size int, embedding array<double>, rep long, copies long, x int, y int")
     count = placed.groupBy("label", "size", "x", "y").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
     tiles = count.select("label", "size", "x", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("t"))
     step = F.array(*map(F.lit, (-1, 0, 1)))
@@ -186,18 +187,21 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     found = stored(mapped(visits, lambda b: compared(b, turn.value, least), "a long, b long, n long"), "links")
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("others")).withColumnRenamed("a", "rep")
     whole = connected(found.where("b is not null").select("a", "b").union(ids_in_several_classes(good, classes)))
-    labels = classes.join(counts, "rep", "left").join(whole.withColumnRenamed("node", "rep"), "rep", "left")
-    labels = labels.select("label", "embedding", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    whole = stored(whole.withColumnRenamed("node", "rep").join(classes.select("rep", "least_id"), "rep"), "components")
+    whole = whole.join(whole.groupBy("component").agg(F.min("least_id").alias("first_id")), "component").select("rep", "first_id")
+    labels = classes.join(counts, "rep", "left").join(whole, "rep", "left")
+    labels = labels.select("label", "embedding", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("first_id", "least_id").alias("component_id"))
     linked = good.join(labels, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.coalesce(sound, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def ids_in_several_classes(good: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows of one ``vec_id`` with different vectors link their classes."""
-    own = good.groupBy("vec_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    rows = good.join(own, "vec_id").join(classes, ["label", "size", "embedding"])
-    return rows.select(F.col("vec_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
+    """Rows of one ``vec_id`` with different vectors link their classes, each with the id's least."""
+    several = good.groupBy("vec_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    own = good.join(several, "vec_id").join(classes, ["label", "size", "embedding"]).select("vec_id", "rep").distinct()
+    least = own.groupBy("vec_id").agg(F.min("rep").alias("a"))
+    return own.join(least, "vec_id").where("a <> rep").select("a", F.col("rep").alias("b"))
 
 
 #: The same in SQL: cosine of all pairs of a label, then what each vector reaches.

@@ -106,7 +106,7 @@ class Machine:
                 z, sums = self.raw(flat, owner, len(own))
                 slope = importance[pick] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label[pick])
                 of = slope[owner]
-                dw, dv = np.bincount(flat, of, minlength=len(self.weight)), np.zeros_like(self.factor)
+                dw, dv = np.bincount(flat, of, minlength=len(self.weight)).astype(float), np.zeros_like(self.factor)
                 np.add.at(dv, flat, of[:, None] * (sums[owner] - self.factor[flat]))
                 used = np.unique(flat)
                 dw[used] += PENALTY * len(own) * self.weight[used]

@@ -87,3 +87,12 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 200)], "a long, b long")
     got = {r["node"]: r["component"] for r in components.connected(links).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 200: 100}
+
+
+def test_rows_that_share_an_id_keep_their_links(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more")]
+    for given in (rows, rows[::-1], [rows[1], rows[0], *rows[2:]]):
+        df = documents(spark, []).unionByName(spark.createDataFrame(given, "doc_id long, text string"), allowMissingColumns=True)
+        got = {(r["doc_id"], r["component_id"]) for r in jaccard_trie.joined(df, size=3, similarity=(9, 10)).collect()}
+        assert got == {(1, 1), (2, 1), (3, 1)}

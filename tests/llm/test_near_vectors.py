@@ -67,3 +67,10 @@ def test_sql_says_the_same(spark):
     con = duckdb.connect()
     con.sql("create view embeddings as select * from '/root/testdata/sf0.001/embeddings.parquet'")
     assert sorted(tuple(r) for r in got) == sorted(con.sql(near_vectors.SQL).fetchall())
+
+
+def test_vectors_that_share_an_id_are_counted_apart(spark):
+    rows = [(1, [1.0, 2.0], 1, "c"), (1, [1.0, 2.01], 1, "c"), (2, [1.0, 2.02], 1, "c"), (0, [1.0, 2.0], 2, "c")]
+    for given in (rows, rows[::-1]):
+        got = near_vectors.near_duplicates(spark.createDataFrame(given, SCHEMA)).collect()
+        assert sorted(tuple(r) for r in got) == [(0, 0, 0, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False)]

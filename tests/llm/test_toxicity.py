@@ -62,3 +62,11 @@ def test_held_out_labels_are_not_used(spark):
     turned = labels.withColumn("toxic", toxicity.F.when(toxicity.held_out(), 1 - toxicity.F.col("toxic")).otherwise(toxicity.F.col("toxic")))
     a, b = (sorted(map(str, toxicity.scored(df, x).collect())) for x in (labels, turned))
     assert a == b
+
+
+def test_no_telling_term_gives_the_base_rate(spark):
+    rows = [(i, f"word{i} other{i}", "en", "s", 5) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(12)], "doc_id long, quality int, toxic int")
+    got = toxicity.scored(df, labels).collect()
+    assert len(got) == 12 and all(0 <= r["score"] <= 1 for r in got)
