@@ -17,27 +17,35 @@ from callglass.llm.components import stored
 from callglass.session import configure
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Bytes of a row group of the texts between stages: a writer holds one of them.
+ROW_GROUP = 16 << 20
+
+
+def small_groups(docs: DataFrame) -> DataFrame:
+    """What the session writes from here on has small row groups, so that writers of whole texts need little memory."""
+    docs.sparkSession.conf.set("parquet.block.size", str(ROW_GROUP))
+    return docs
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return languages.recognised(docs)
+    return languages.recognised(small_groups(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_trie.first_of_each(docs, size=5, similarity=(4, 5))
+    return jaccard_trie.first_of_each(small_groups(docs), size=5, similarity=(4, 5))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated passages; one that changes gets its new length."""
-    return repeats.cut(docs)
+    return repeats.cut(small_groups(docs))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return tiling.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return tiling.clean(small_groups(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encoded_documents(docs)
+    return pieces.encoded_documents(small_groups(docs))
 
 
 STAGES: list[tuple[str, Stage]] = [
