@@ -227,6 +227,74 @@ def summary(
     )
 
 
+#: Parts of a summary, and the measures each row of it has.
+PARTS = ["requests", "errors", "cancellations", "successes", "error_rate", "p50_latency_ms", "p95_latency_ms", "p50_ttft_ms", "p95_ttft_ms",
+         "input_tokens", "output_tokens"]
+
+
+def summary_parts(calls: DataFrame, as_of: datetime | str, window_minutes: int = S.DEFAULT_WINDOW_MINUTES, interval: str = "minute") -> DataFrame:
+    """Totals, series and providers of a window from one scan of it.
+
+    ``part`` is ``total``, ``series`` (with ``bucket``) or ``provider`` (with ``provider`` and
+    ``model``). The scan counts calls per measured value for buckets and for providers;
+    the counts of the providers serve the total too. An empty window has a total of zeros.
+    """
+    check_interval(interval, S.DASHBOARD_INTERVALS)
+    window = last_minutes(calls, as_of, window_minutes).withColumn("bucket", F.date_trunc(interval, "completed_at"))
+    status, model = F.col("status"), ["provider", "model"]
+    sets = [[*keys, m] for keys in (["bucket"], model) for m in ("latency_ms", "ttft_ms")]
+    counted = (
+        window.select(
+            "bucket", *model, "latency_ms", "ttft_ms", "input_tokens", "output_tokens",
+            (status == "error").cast("int").alias("_e"), (status == "cancelled").cast("int").alias("_c"),
+        )
+        .groupingSets(sets, "bucket", *model, "latency_ms", "ttft_ms")
+        .agg(
+            (F.grouping("ttft_ms") == 1).alias("_by_latency"), (F.grouping("bucket") == 0).alias("_in_time"), F.count(F.lit(1)).alias("_n"),
+            F.sum("_e").alias("_errors"), F.sum("_c").alias("_cancels"), F.sum("input_tokens").alias("_in"), F.sum("output_tokens").alias("_out"),
+        )
+    )
+    zero = calls.sparkSession.range(1).select(
+        F.lit(None).cast("timestamp").alias("bucket"), *[F.lit(None).cast("string").alias(c) for c in model],
+        *[F.lit(None).cast("int").alias(m) for m in ("latency_ms", "ttft_ms")], F.lit(True).alias("_by_latency"), F.lit(False).alias("_in_time"),
+        *[F.lit(0).cast("long").alias(c) for c in ("_n", "_errors", "_cancels", "_in", "_out")], F.array(F.lit("total")).alias("_parts"),
+    )
+    parts = F.when(F.col("_in_time"), F.array(F.lit("series"))).otherwise(F.array(F.lit("provider"), F.lit("total")))
+    rows = counted.withColumn("_parts", parts).unionByName(zero).withColumn("part", F.explode("_parts"))
+    for c in model:
+        rows = rows.withColumn(c, F.when(F.col("part") == "provider", F.col(c)))
+    keys = ["part", "bucket", *model]
+    return _finish(rows.groupBy(*keys).agg(*_measures()), keys, PARTS)
+
+
+COUNT_KEYS = ["bucket", "provider", "model"]
+_SUMS = ["_n", "_errors", "_cancels", "_in", "_out"]
+
+
+def minute_counts(calls: DataFrame) -> DataFrame:
+    """Sparse histograms: calls per minute, provider, model and measured value, with the counters beside them.
+
+    Such rows of several batches merge by adding up, and hold all that exact percentiles need.
+    """
+    return _counts(calls.withColumn("bucket", F.date_trunc("minute", "completed_at")), COUNT_KEYS)
+
+
+def merged_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts of several batches as one row per ``keys`` and value; combines map-side."""
+    return counts.groupBy(*keys, "_by_latency", "latency_ms", "ttft_ms").agg(*[F.sum(c).alias(c) for c in _SUMS])
+
+
+def parts_from_counts(counts: DataFrame, interval: str = "minute") -> DataFrame:
+    """``summary_parts`` of the minutes in ``counts``, without the calls themselves."""
+    check_interval(interval, S.DASHBOARD_INTERVALS)
+    rows = counts.withColumn("part", F.explode(F.array(*map(F.lit, ("total", "series", "provider")))))
+    rows = rows.withColumn("bucket", F.when(F.col("part") == "series", F.date_trunc(interval, "bucket")))
+    for c in ("provider", "model"):
+        rows = rows.withColumn(c, F.when(F.col("part") == "provider", F.col(c)))
+    keys = ["part", *COUNT_KEYS]
+    return _finish(merged_counts(rows, keys).groupBy(*keys).agg(*_measures()), keys, PARTS)
+
+
 def providers(calls: DataFrame) -> DataFrame:
     return calls.select("provider").distinct().orderBy("provider")
 

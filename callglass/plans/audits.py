@@ -22,6 +22,12 @@ def damaged(g: Given):
     )
 
 
+def answered(g: Given):
+    """The log with the message that each call left, as it is once replies are known."""
+    told = (F.col("status") == "success") & F.col("conversation_id").isNotNull()
+    return g.logs.withColumn("message_id", F.when(told, F.concat(F.lit("reply-"), F.substring("id", 25, 12))))
+
+
 def odd_conversations(g: Given):
     """Conversations, some with a status in capitals."""
     return g.conversations.withColumn("status", F.when(F.col("conversation_id").endswith("7"), F.upper("status")).otherwise(F.col("status")))
@@ -100,6 +106,17 @@ from fx_logs where conversation_id is not null group by 1, 2 having count(*) > 1
         lambda g: audit.repeated_keys(g.messages, ["conversation_id", "seq"]),
         with_views("fx_messages", sql="select conversation_id, seq, count(*) as occurrences from fx_messages group by 1, 2 having count(*) > 1"),
     ),
+    Query(
+        "audit_repeated_messages",
+        lambda g: audit.repeated_keys(g.messages.withColumn("seq", F.floor(F.col("seq") / 3).cast("int")), ["conversation_id", "seq"]),
+        with_views("fx_messages", sql="""select conversation_id, cast(floor(seq / 3) as integer) as seq, count(*) as occurrences
+from fx_messages group by 1, 2 having count(*) > 1"""),
+    ),
+    Query(
+        "audit_call_messages",
+        lambda g: audit.dangling(answered(g), "message_id", g.replies.where(~F.col("reply_id").endswith("3")), "reply_id"),
+        with_views("fx_replies", sql="""select reply_id as message_id, count(*) as "rows" from fx_replies where reply_id like '%3' group by 1"""),
+    ),
     Query(
         "audit_refs",
         lambda g: audit.dangling(g.logs, "conversation_id", g.conversations, "conversation_id"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from callglass.operators import ingest, metrics
 from callglass.plans.registry import AS_OF, NEVER, SINCE, START, Query
 from callglass.sources.given import Given, with_views
@@ -60,6 +62,16 @@ def summary_alerts(g: Given):
     return metrics.alerts(s.totals, s.ingestion)
 
 
+def summary_parts(g: Given):
+    """All four parts of a refresh in one result."""
+    health = health_of(g).withColumn("part", F.lit("ingestion"))
+    return metrics.summary_parts(g.logs, AS_OF, metrics.S.MAX_WINDOW_MINUTES, "hour").unionByName(health, allowMissingColumns=True)
+
+
+PARTS = f"""{COUNTS}, count(*) filter (where status = 'success') as successes, {RATE}, {pct('latency_ms', 0.5, 'p50_latency_ms')},
+  {pct('latency_ms', 0.95, 'p95_latency_ms')}, {pct('ttft_ms', 0.5, 'p50_ttft_ms')}, {pct('ttft_ms', 0.95, 'p95_ttft_ms')}, {TOKENS}"""
+
+
 def window_presets_sql() -> str:
     return with_views("fx_logs", sql=f"""
 select preset, minutes, interval, requests, errors, cancellations, error_rate, p50_latency_ms, p95_latency_ms, p95_ttft_ms,
@@ -102,6 +114,16 @@ select 'error_rate' as alert, error_rate as value, case when error_rate > 0.05 t
 union all select 'ingestion_lag', lag_seconds, tone from health3
 union all select 'failed_events', cast(raw_events_failed as double),
   case when raw_events_failed > 0 then 'critical' else 'neutral' end from health3"""),
+    ),
+    Query(
+        "summary_parts",
+        summary_parts,
+        with_views("fx_deliveries", sql=f""", {HEALTH_CTE},
+w as (select *, date_trunc('hour', completed_at) as hour from fx_logs where completed_at >= timestamp '{AS_OF}' - interval '10080 minutes')
+select 'total' as part, {PARTS} from w
+union all by name select 'series' as part, hour as bucket, {PARTS} from w group by hour
+union all by name select 'provider' as part, provider, model, {PARTS} from w group by provider, model
+union all by name select 'ingestion' as part, * from health3"""),
     ),
     Query("providers_distinct", lambda g: metrics.providers(g.logs), with_views("fx_logs", sql="select distinct provider from fx_logs")),
     Query(

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from callglass.functions import text as X
 from callglass.functions.measures import classify_end
-from callglass.operators import chunks as K, conversations as C
+from callglass.operators import chunks as K, contract, conversations as C, events as E, ingest
 from callglass.plans.registry import Query
+from callglass.plans.texts import cut_sql, redacted_sql
 from callglass.sources.given import Given, with_views
 
 
@@ -33,6 +34,26 @@ def numbered_replies(g: Given):
     return C.append(users, arrivals).select("conversation_id", "call_id", "seq")
 
 
+def named(df):
+    """Folded calls with what their wrapper knows besides: id, provider, model and the failure."""
+    conv, turn = F.split("call_id", "-")[0].cast("long"), F.col("turn")
+    return df.withColumns({
+        "id": F.concat(F.lit("00000000-0000-4000-a000-"), F.lpad((conv * 1000 + turn).cast("string"), 12, "0")),
+        "provider": F.lit("mock"), "model": F.concat(F.lit("model-"), (turn % 3).cast("string")), "vendor_error": F.lit("APIConnectionError"),
+        "error_class": F.lit("ProviderError"), "message": F.lit("upstream failure"),
+    })
+
+
+def built_events(g: Given):
+    """Events of finished calls, published and read back through the contract."""
+    sent = contract.publish(E.finished_events(named(finished(g)), g.messages))
+    rows = contract.to_rows(ingest.check(sent.select(F.xxhash64("id").alias("delivery_id"), "data")))
+    return rows.select(*EVENT, F.to_json("raw_metadata").alias("raw_metadata"))
+
+
+EVENT = ["id", "schema_version", "conversation_id", "message_id", "provider", "model", "status", "streamed", "started_at", "completed_at", "latency_ms",
+         "ttft_ms", "input_tokens", "output_tokens", "input_preview", "output_preview", "error_type", "error_message", "finish_reason"]
+
 FOLD = """f as (select call_id, string_agg(delta_text, '' order by chunk_no) as text, count(*) as chunks,
   min(emitted_at) filter (where delta_text <> '') as first_text_at,
   arg_max(input_tokens, chunk_no) filter (where input_tokens is not null) as input_tokens,
@@ -82,6 +103,21 @@ select call_id, case end_kind when 'completed' then 'success' when 'cancelled' t
   case end_kind when 'provider_error' then 'APIConnectionError' when 'unexpected' then 'ProviderError' end as error_type,
   case end_kind when 'completed' then null when 'cancelled' then 'Cancelled by client' else 'upstream failure' end as error_message,
   streamed, ttft_ms, case when length(text) > 80 then concat(substr(text, 1, 80), '…') else text end as output_preview from done"""),
+    ),
+    Query(
+        "built_events",
+        built_events,
+        with_views("fx_calls", "fx_chunks", "fx_messages", sql=f""", {FINISHED},
+u as (select c.call_id, arg_max(m.content, m.seq) as said from fx_calls c
+  left join fx_messages m on m.conversation_id = c.conversation_id and m.role = 'user' and m.seq < c.turn group by 1)
+select concat('00000000-0000-4000-a000-', lpad(cast(cast(split_part(call_id, '-', 1) as bigint) * 1000 + turn as varchar), 12, '0')) as id,
+  1 as schema_version, conversation_id, cast(null as varchar) as message_id, 'mock' as provider, concat('model-', turn % 3) as model,
+  case end_kind when 'completed' then 'success' when 'cancelled' then 'cancelled' else 'error' end as status, streamed, started_at, ended_at as completed_at,
+  latency_ms, ttft_ms, input_tokens, output_tokens, {redacted_sql(cut_sql("said"))} as input_preview, {redacted_sql(cut_sql("text"))} as output_preview,
+  case end_kind when 'provider_error' then 'APIConnectionError' when 'unexpected' then 'ProviderError' end as error_type,
+  case end_kind when 'completed' then null when 'cancelled' then 'Cancelled by client' else 'upstream failure' end as error_message,
+  finish_reason, metadata_json as raw_metadata
+from done join u using (call_id)"""),
     ),
     Query(
         "normalised_chunks",

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callglass.operators import chunks as K
+from callglass.plans.dashboard import PARTS
 from callglass.plans.folding import FINISHED
 from callglass.plans.ingestion import ROW, ROW_COLUMNS, USABLE
-from callglass.plans.registry import Query
+from callglass.plans.registry import SINCE, Query
 from callglass.session import scratch_path
 from callglass.sources import given
 from callglass.sources.given import Given, with_views
@@ -34,6 +35,17 @@ def rollup(g: Given) -> DataFrame:
     return run(g, live.rollup(given.logs_from(stream_of(g, "events"))), "rollup")
 
 
+def live_summary(g: Given) -> DataFrame:
+    """The live view after calls came in three batches, the later two of which reach back to the first minute."""
+    path = scratch_path(g.spark, "live")
+    events = g.table("events")
+    for third in range(3):
+        events.where(F.col("event_id") % 3 == third).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    source = g.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    live.keep_counts(given.logs_from(source), f"{path}/counts", f"{path}/checkpoint").awaitTermination()
+    return live.summary(g.spark, f"{path}/counts", SINCE, "hour")
+
+
 def folds(g: Given) -> DataFrame:
     """Calls all of whose runs (of four chunks) have closed, folded to the end from the stream's rows."""
     runs = run(g, live.fold_stream(given.chunks_from(stream_of(g, "conversations")), run=4), "runs")
@@ -79,6 +91,14 @@ QUERIES = [
   cast(coalesce(sum(input_tokens), 0) as bigint) as input_tokens, cast(coalesce(sum(output_tokens), 0) as bigint) as output_tokens
 from fx_logs group by 1
 having date_trunc('minute', completed_at) + interval '1 minute' <= (select max(completed_at) from fx_logs) - interval '10 minutes'"""),
+    ),
+    Query(
+        "live_summary",
+        live_summary,
+        with_views("fx_logs", sql=f""", w as (select *, date_trunc('hour', completed_at) as hour from fx_logs where completed_at >= timestamp '{SINCE}')
+select 'total' as part, {PARTS} from w
+union all by name select 'series' as part, hour as bucket, {PARTS} from w group by hour
+union all by name select 'provider' as part, provider, model, {PARTS} from w group by provider, model"""),
     ),
     Query(
         "streamed_folds",

@@ -14,6 +14,10 @@ def sql_text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
+def cut_sql(column: str) -> str:
+    return f"case when length({column}) > 500 then concat(substr({column}, 1, 500), '…') else {column} end"
+
+
 def redacted_sql(column: str) -> str:
     for rule in X.RULES:
         column = f"regexp_replace({column}, {sql_text(rule.pattern)}, {sql_text(rule.placeholder)}, 'gi')"

@@ -1,16 +1,46 @@
-"""Live views: rollups that close with the watermark, and the chunk stream.
+"""Live views: counts that follow the log at once, rollups that close with the watermark, the chunk stream.
 
-The log stays the truth: a row later than the watermark is missing from the live
-rollup only, and a recomputation from the log puts it into its bucket.
+``keep_counts`` stores for each micro-batch what it adds to every minute: sparse histograms of
+the measured values, which add up. Open minutes show at once, a call of any lateness is
+added to its own minute, and percentiles are exact, all without reading the log again.
+``rollup`` is the plain form with a watermark; there the log stays the truth for later rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from callglass.operators import chunks as K
+from callglass.operators import chunks as K, metrics
+
+COUNTS = "bucket timestamp, provider string, model string, latency_ms int, ttft_ms int, _by_latency boolean, _n long, _errors long, _cancels long, _in long, _out long, batch long"
+
+
+def write_counts(calls: DataFrame, path: str, batch_id: int) -> None:
+    """What one batch adds. A batch that runs again replaces its own rows."""
+    rows = metrics.minute_counts(calls).withColumn("batch", F.lit(batch_id).cast("long"))
+    rows.select(*[c.split()[0] for c in COUNTS.split(", ")]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
+def keep_counts(calls: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Follows a stream of calls; without ``every`` it takes what is there and stops."""
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return (
+        calls.writeStream.foreachBatch(lambda df, n: write_counts(df, path, n))
+        .option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    )
+
+
+def counts(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
+    """The counts of all batches, from the minute ``since`` on."""
+    rows = spark.read.schema(COUNTS).parquet(path)
+    return rows if since is None else rows.where(F.col("bucket") >= F.date_trunc("minute", metrics.as_timestamp(since)))
+
+
+def summary(spark: SparkSession, path: str, since: str | None = None, interval: str = "minute") -> DataFrame:
+    """Totals, series and providers as they are now."""
+    return metrics.parts_from_counts(counts(spark, path, since), interval)
 
 
 def rollup(calls: DataFrame, interval: str = "1 minute", lateness: str = "10 minutes") -> DataFrame:
