@@ -35,6 +35,8 @@ AHEAD = 2
 TREE = "blocks binary, lengths binary, counts binary"
 #: What the query's edits replace: addresses, long numbers, runs of one mark.
 SCRUBBED = re.compile(r"(?P<address>[\w.+-]+@[\w-]+(?:\.[\w-]+)+)|(?P<number>\d{5,})|(?P<run>([^\w\s])\4{2,})")
+#: The same for texts without "@", in which no address can be; it does not try one at every letter.
+NO_ADDRESS = re.compile(r"(?P<number>\d{5,})|(?P<run>([^\w\s])\3{2,})")
 
 
 class Counter:
@@ -230,18 +232,42 @@ def apply_edits(stored: DataFrame, edits: DataFrame, name: str = "byte_bpe_50k.t
     return with_edits(stored.join(by, "doc_id", "left"), name)
 
 
-def scrubbing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("put", pa.string())]))
+def places_to_scrub(text: str) -> list[tuple[int, int, str]]:
+    """Edits (start, stop, put) of one text, in order."""
+    pattern = SCRUBBED if "@" in text else NO_ADDRESS
+    put = lambda m, kinds: "<address>" if kinds.get("address") else "<number>" if kinds["number"] else m.group()[0]
+    return [(m.start(), m.end(), put(m, m.groupdict())) for m in pattern.finditer(text)]
+
+
+def scrubbed(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
+    """One pass: a text's edits, and its tree if it has any; the tree then follows the edits."""
+    count = counter(name)
     for batch in batches:
-        found = []
-        for t in batch.column("text").to_pylist():
-            found.append([
-                {"start": m.start(), "stop": m.end(), "put": "<address>" if m["address"] else "<number>" if m["number"] else m.group()[0]} for m in SCRUBBED.finditer(t or "")
-            ])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, "edits"])
+        out = []
+        for text in batch.column("text").to_pylist():
+            text = text or ""
+            edits = places_to_scrub(text)
+            if not edits:
+                n = len(count.encoding.encode_ordinary(text))
+                out.append((n, 0, n, len(count.pattern.findall(text)), 0))
+                continue
+            tree, anew = Tree.of(*count.cut(text)), 0
+            before = tree.tokens
+            for start, stop, put in reversed(edits):
+                text, tree, n = edit(tree, text, start, stop, put, count)
+                anew += n
+            out.append((before, len(edits), tree.tokens, sum(len(a) for a, _ in tree.blocks), anew))
+        columns = list(zip(*out)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(c, pa.int64()) for c in columns)], SCRUBBED_NAMES)
+
+
+SCRUBBED_NAMES = ["doc_id", "n_tokens_before", "n_edits", "n_tokens_after", "n_pretokens", "n_counted_anew"]
 
 
 def scrubbed_counts(documents: DataFrame, name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """Token counts of every document before and after its addresses, long numbers and runs of marks are replaced."""
-    rows = mapped(trees(documents, name), scrubbing, f"doc_id long, text string, {TREE}, n_tokens long, edits array<struct<start: int, stop: int, put: string>>")
-    return with_edits(rows, name).select("doc_id", "n_tokens_before", "n_edits", F.col("n_tokens").alias("n_tokens_after"), "n_pretokens", "n_counted_anew")
+    """Token counts of every document before and after its addresses, long numbers and runs of marks are replaced.
+
+    Texts without edits need no tree here; ``trees`` builds and stores one for every document.
+    """
+    small_batches(documents.sparkSession, 250)
+    return mapped(documents.select("doc_id", "text"), lambda b: scrubbed(b, name), ", ".join(f"{c} long" for c in SCRUBBED_NAMES))
