@@ -80,18 +80,20 @@ def counter(name: str) -> Counter:
 
 
 class Tree:
-    """Blocks of leaves under a binary tree of sums (characters, tokens); node 1 is the root."""
+    """Blocks of leaves under a binary tree of sums, of characters and of tokens; node 1 is the root."""
 
     def __init__(self, blocks: list[tuple[np.ndarray, np.ndarray]]) -> None:
         self.blocks = blocks
         self.width = 1
         while self.width < len(blocks):
             self.width *= 2
-        self.sums = np.zeros((2 * self.width, 2), np.int64)
-        for k, (lengths, counts) in enumerate(blocks):
-            self.sums[self.width + k] = lengths.sum(), counts.sum()
-        for node in range(self.width - 1, 0, -1):
-            self.sums[node] = self.sums[2 * node] + self.sums[2 * node + 1]
+        self.sums = [0] * (2 * self.width), [0] * (2 * self.width)
+        for k, block in enumerate(blocks):
+            for own, leaves in zip(self.sums, block):
+                own[self.width + k] = int(leaves.sum())
+        for own in self.sums:
+            for node in range(self.width - 1, 0, -1):
+                own[node] = own[2 * node] + own[2 * node + 1]
 
     @classmethod
     def of(cls, lengths: np.ndarray, counts: np.ndarray) -> Tree:
@@ -110,19 +112,19 @@ class Tree:
 
     @property
     def characters(self) -> int:
-        return int(self.sums[1, 0])
+        return self.sums[0][1]
 
     @property
     def tokens(self) -> int:
-        return int(self.sums[1, 1])
+        return self.sums[1][1]
 
     def find(self, place: int) -> tuple[int, int]:
         """Block that holds the character at ``place``, and the place of the block's first."""
-        node, start = 1, 0
+        node, start, characters = 1, 0, self.sums[0]
         while node < self.width:
             node *= 2
-            if place >= start + self.sums[node, 0] and self.sums[node + 1, 0]:
-                start += int(self.sums[node, 0])
+            if place >= start + characters[node] and characters[node + 1]:
+                start += characters[node]
                 node += 1
         return node - self.width, start
 
@@ -142,11 +144,12 @@ class Tree:
             self.__init__(Tree.of(*(np.concatenate([x[i] for x in self.blocks]) for i in (0, 1))).blocks)
             return
         for k in range(first, last + 1):
-            node = self.width + k
-            self.sums[node] = self.blocks[k][0].sum(), self.blocks[k][1].sum()
-            while node > 1:
-                node //= 2
-                self.sums[node] = self.sums[2 * node] + self.sums[2 * node + 1]
+            for own, leaves in zip(self.sums, self.blocks[k]):
+                node = self.width + k
+                change = int(leaves.sum()) - own[node]
+                while node:
+                    own[node] += change
+                    node //= 2
 
     def border(self, place: int) -> int:
         """Start of the first leaf that ends after ``place``."""
