@@ -125,7 +125,9 @@ def write_judged(
     store.write("places", tables.places_of(added, batch_id), batch_id)
     dead = F.struct(F.min("delivery_id").alias("least"), F.max("delivery_id").alias("greatest"), F.count(F.lit(1)).alias("rows"))
     zones = tables.zones_of(added).agg(F.collect_list(F.struct(*tables.ZONE.fieldNames())).alias("zones"))
-    one = landing.outcomes.join(F.broadcast(landing.dead_letters.agg(dead.alias("dead")))).join(F.broadcast(zones))  # one row beside one row
+    rows = [landing.outcomes, landing.dead_letters.agg(dead.alias("dead")), zones]  # one row each, folded into one
+    both = rows[0].unionByName(rows[1], allowMissingColumns=True).unionByName(rows[2], allowMissingColumns=True)
+    one = both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in both.columns])
     store.write("outcomes", one.withColumn("state", F.lit(state).cast("string")).withColumn("ingested_at", F.when(F.size("zones") > 0, now)), batch_id)
 
 
