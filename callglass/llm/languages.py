@@ -2,8 +2,8 @@
 
 Learning counts hashed letter trigrams per language over all texts of the learning part.
 For a text, expectation-maximisation estimates the share of each language from the
-likelihoods of its trigrams. Sets of the largest one, two, ... languages are fitted and the
-set with the best likelihood less a penalty for each language wins. The answer is the
+likelihoods of its trigrams. Sets of the largest one, two, ... languages are fitted, and a
+set grows as long as the likelihood less a penalty for each language does. The answer is the
 language with the largest share in that set, and the share is the score.
 
 Defined results: a null text and a text without a letter are ``und`` with score 0. If
@@ -24,14 +24,12 @@ from pyspark.sql import functions as F
 
 from callglass.llm.words import NO_LETTER, mapped, small_batches
 
-#: Bits of a trigram's hash, added counts per trigram, languages in a set at most, rounds of estimation.
-BITS, ADDED, MOST, ROUNDS = 16, 0.5, 4, 12
+#: Bits of a trigram's hash, added counts per trigram, rounds of estimation.
+BITS, ADDED, ROUNDS = 16, 0.5, 12
 #: Trigrams of a text overlap, so its likelihood counts this part; each further language costs half the logarithm of the count.
 WEIGHT = 1 / 3
 #: Bytes of text handled at once.
 CHUNK = 1_000_000
-#: Share of the leading language below which the pipeline rejects a text.
-LEAST_SHARE = 0.34
 FOLD = np.arange(256, dtype=np.uint32)
 FOLD[NO_LETTER] = 0x20
 FOLD[ord("0") : ord("9") + 1] = 0x20
@@ -117,15 +115,17 @@ def mixtures(own: np.ndarray, gram: np.ndarray, logs: np.ndarray) -> tuple[np.nd
     total = np.add.reduceat(count, first)
     everything, _ = fitted(likely, count, first, doc, np.full((len(texts), logs.shape[1]), 1 / logs.shape[1]), ROUNDS)
     order = np.argsort(-everything, axis=1, kind="stable")
-    best, score = np.zeros_like(everything), np.full(len(texts), -np.inf)
-    for k in range(1, min(MOST, logs.shape[1]) + 1):
+    best, score, growing = np.zeros_like(everything), np.full(len(texts), -np.inf), np.ones(len(texts), bool)
+    for k in range(1, logs.shape[1] + 1):
         start = np.zeros_like(everything)
         np.put_along_axis(start, order[:, :k], np.maximum(np.take_along_axis(everything, order[:, :k], 1), 1e-6), 1)
         start /= start.sum(1, keepdims=True)
         share, fit = fitted(likely, count, first, doc, start, 1 if k == 1 else ROUNDS // 2)
         value = WEIGHT * fit - (k - 1) * 0.5 * np.log(np.maximum(total, 2))
-        better = value > score + 1e-9
-        best[better], score[better] = share[better], value[better]
+        growing &= value > score + 1e-9
+        if not growing.any():
+            break
+        best[growing], score[growing] = share[growing], value[growing]
     return texts, best
 
 
@@ -156,10 +156,12 @@ def predicted(batches: Iterator[pa.RecordBatch], names: list[str], logs: np.ndar
 
 
 def led(batches: Iterator[pa.RecordBatch], names: list[str], logs: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The rows whose own text is in a language that leads."""
+    """The rows whose own text is in some language; if no language is known, those with a letter."""
     for batch in batches:
-        langs, scores, _ = answers(batch.column("__lower"), batch.column("__lettered").to_numpy(zero_copy_only=False), names, logs)
-        yield batch.drop_columns(["__lower", "__lettered"]).filter(pa.array((np.array(langs, object) != "und") & (scores >= LEAST_SHARE), pa.bool_()))
+        lettered = batch.column("__lettered").to_numpy(zero_copy_only=False)
+        langs, _, _ = answers(batch.column("__lower"), lettered, names, logs)
+        keep = np.array(langs, object) != "und" if names else lettered
+        yield batch.drop_columns(["__lower", "__lettered"]).filter(pa.array(keep, pa.bool_()))
 
 
 def lettered() -> Column:
@@ -179,6 +181,6 @@ def identified(documents: DataFrame) -> DataFrame:
 
 
 def recognised(documents: DataFrame) -> DataFrame:
-    """The documents without those in no language (``und``) or in none that leads. Each row is judged by its own text, whatever its ``doc_id``."""
+    """The documents without those in no language (``und``). Each row is judged by its own text, whatever its ``doc_id``."""
     sent = model(documents)
     return mapped(documents.select("*", F.lower("text").alias("__lower"), lettered().alias("__lettered")), lambda b: led(b, *sent.value), documents.schema)

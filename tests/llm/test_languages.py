@@ -36,10 +36,54 @@ def test_mixtures_and_edges(spark):
     assert got[8]["lang_pred"] in ("en", "de")
 
 
+LANGUAGES = {
+    "en": ENGLISH, "de": GERMAN, "fr": "le vif renard brun saute par dessus le chien paresseux et la souris dort ", "es": "el veloz zorro marrón salta sobre el perro perezoso y los gatos duermen ",
+    "fi": "nopea ruskea kettu hyppää laiskan koiran yli ja kissa nukkuu ", "pl": "szybki brązowy lis przeskakuje nad leniwym psem i śpiącym kotem ",
+}
+
+
+def test_a_text_in_six_languages_names_all_and_stays(spark):
+    rows = [(i * 6 + k, t * 3, l, "s", 0) for i in range(20) for k, (l, t) in enumerate(LANGUAGES.items())]
+    df = spark.createDataFrame([*rows, (1000, "".join(t * 10 for t in LANGUAGES.values()), None, "s", 0), (1001, LANGUAGES["pl"] * 5, None, "s", 0)], DOCUMENTS)
+    got = {r["doc_id"]: r for r in languages.identified(df).where("doc_id >= 1000").collect()}
+    assert set(got[1000]["languages"]) == set(LANGUAGES) and got[1000]["score"] < 0.34
+    assert got[1001]["languages"] == ["pl"]
+    assert languages.recognised(df).count() == df.count()
+
+
+def test_chosen_sets_equal_trying_each_size():
+    """The chosen set against fitting one text at a time, in plain loops."""
+    rng = np.random.default_rng(5)
+    logs = np.log(rng.dirichlet(np.full(1 << languages.BITS, 0.02), 5).T + 1e-9)
+    for used in (1, 2, 3, 5):
+        own = [int(rng.choice(1 << languages.BITS, p=np.exp(logs[:, k]) / np.exp(logs[:, k]).sum())) for k in range(used) for _ in range(60)]
+        _, shares = languages.mixtures(np.zeros(len(own), np.int64), np.array(own), logs)
+        likely = np.exp(logs[own] - logs[own].max(1, keepdims=True)) + 1e-12
+
+        def fit(start, rounds, likely=likely):
+            for _ in range(rounds):
+                part = likely * start
+                start = (part / part.sum(1, keepdims=True)).mean(0)
+            return start, np.log((likely * start).sum(1)).sum()
+
+        whole, _ = fit(np.full(5, 0.2), languages.ROUNDS)
+        order, best, score = np.argsort(-whole, kind="stable"), None, -np.inf
+        for k in range(1, 6):
+            start = np.where(np.isin(np.arange(5), order[:k]), np.maximum(whole, 1e-6), 0)
+            share, value = fit(start / start.sum(), 1 if k == 1 else languages.ROUNDS // 2)
+            value = languages.WEIGHT * value - (k - 1) * 0.5 * np.log(len(own))
+            if value <= score + 1e-9:
+                break
+            best, score = share, value
+        assert np.allclose(shares[0], best, atol=1e-9) and (shares[0] > 0).sum() == used
+
+
 def test_nothing_to_learn_and_empty(spark):
     df = spark.createDataFrame([(1, "word", None, "s", 1)], DOCUMENTS)
     assert [r["lang_pred"] for r in languages.identified(df).collect()] == ["und"]
     assert languages.identified(df.limit(0)).count() == 0
+    more = df.union(spark.createDataFrame([(2, "12", None, "s", 1), (3, None, None, "s", 1)], DOCUMENTS))
+    assert [r["doc_id"] for r in languages.recognised(more).collect()] == [1]
 
 
 def test_labels_of_the_held_out_part_are_not_used(spark):
