@@ -51,12 +51,13 @@ def hashes_of(values: np.ndarray, first: np.ndarray, end: np.ndarray, base: int)
         return (sums[end] - sums[first]) * powers(pow(base, -1, 1 << 64), len(values) + 1)[first]
 
 
-def words_in(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First byte, byte after the last, and hash of each word; no word crosses one of ``bounds``."""
+def words_in(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, byte after the last, and hash of each word; no word crosses one of ``bounds`` or ``cuts``."""
     inside = ~space[data]
     starts = inside.copy()
     starts[1:] &= ~inside[:-1]
-    edges = bounds[(bounds > 0) & (bounds < len(data))]
+    edges = bounds if cuts is None else np.concatenate([bounds, cuts])
+    edges = edges[(edges > 0) & (edges < len(data))]
     starts[edges] = inside[edges]
     ends = inside.copy()
     ends[:-1] &= ~inside[1:]
@@ -104,12 +105,31 @@ def scrambled(values: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def characters_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 with blanks for wide punctuation, and the edges of each character of a script without blanks.
+
+    These are Thai, Lao, Myanmar, Khmer, kana and Han characters.
+    """
+    leads = np.flatnonzero(data >= 0xE0)
+    leads = leads[leads + 2 < len(data)]
+    a, b, c = data[leads], data[leads + 1], data[leads + 2]
+    wide = (a == 0xE3) & (b == 0x80) & ((c <= 0x83) | (c >= 0x88) & (c <= 0x9F))  # U+3000 to U+3003, U+3008 to U+301F
+    wide |= (a == 0xEF) & (b == 0xBC) & ((c >= 0x81) & (c <= 0x8F) | (c >= 0x9A) & (c <= 0x9F))  # U+FF01 to U+FF0F, U+FF1A to U+FF1F
+    if wide.any():
+        data = data.copy()
+        data[(leads[wide][:, None] + np.arange(3)).ravel()] = 0x20
+    three = (a >= 0xE3) & (a <= 0xE9) & ~wide
+    three |= (a == 0xE0) & (b >= 0xB8) & (b <= 0xBB) | (a == 0xE1) & ((b >= 0x80) & (b <= 0x82) | (b == 0x9E) | (b == 0x9F))
+    four = (a == 0xF0) & (b >= 0xA0) & (b <= 0xB3)
+    return data, np.concatenate([leads[three], leads[three] + 3, leads[four], leads[four] + 4])
+
+
 class Words:
     """Words of consecutive texts: text k has the words ``first[k]`` to ``first[k + 1]``."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE) -> None:
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE, cuts: np.ndarray | None = None) -> None:
         self.data = data
-        self.starts, self.ends, self.hashes = words_in(data, bounds, space)
+        self.starts, self.ends, self.hashes = words_in(data, bounds, space, cuts)
         self.first = np.searchsorted(self.starts, bounds)
         self.counts = np.diff(self.first)
 
@@ -121,8 +141,13 @@ class Words:
         return owner, np.arange(len(owner)) - np.repeat(before, room) + self.first[:-1][owner]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], lower: bool = False, most: int = CHUNK, space: np.ndarray = SPACE) -> Iterator[tuple[pa.RecordBatch, Words]]:
-    """Rows of a batch that hold about ``most`` bytes of ``text``, and their words; a null text counts as empty."""
+def chunks(
+    batches: Iterator[pa.RecordBatch], lower: bool = False, most: int = CHUNK, space: np.ndarray = SPACE, characters: bool = False
+) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    """Rows of a batch that hold about ``most`` bytes of ``text``, and their words; a null text counts as empty.
+
+    With ``characters`` each character of a script without blanks is a word.
+    """
     for batch in batches:
         column = batch.column("text").cast(pa.large_binary()).fill_null(b"")
         if not len(column):
@@ -133,7 +158,9 @@ def chunks(batches: Iterator[pa.RecordBatch], lower: bool = False, most: int = C
         while low < len(column):
             high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + most, "right")) - 1)
             part = data[offsets[low] : offsets[high]]
-            yield batch.slice(low, high - low), Words(LOWER[part] if lower else part, offsets[low : high + 1] - offsets[low], space)
+            part = LOWER[part] if lower else part
+            part, cuts = characters_of(part) if characters else (part, None)
+            yield batch.slice(low, high - low), Words(part, offsets[low : high + 1] - offsets[low], space, cuts)
             low = high
 
 

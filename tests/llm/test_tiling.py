@@ -8,7 +8,7 @@ from callglass.llm import tiling
 
 
 def words(text):
-    return re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())
+    return re.findall("[\u0e00-\u0e7f\u3005-\u3007\u3020-\u9fff\U00020000-\U0003ffff]|(?:[0-9a-z]|[^\\x00-\x7f\u0e00-\u0e7f\u3000-\u9fff\uff01-\uff0f\uff1a-\uff1f\U00020000-\U0003ffff])+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
 def plain(doc, item):
@@ -25,7 +25,7 @@ def plain(doc, item):
                 if k > best[0]:
                     best = (k, i, j)
         k, i, j = best
-        if k < tiling.SEED:
+        if k < min(tiling.SEED, max(tiling.LEAST_ITEM, len(a))):
             return (len(a), n, covered) if a else (0, 0, 0)
         used_a |= set(range(i, i + k))
         used_b |= set(range(j, j + k))
@@ -53,7 +53,8 @@ def test_against_trying_all_places(spark, monkeypatch, sent):
     monkeypatch.setattr(tiling, "SENT_ITEMS", sent)
     texts, items = made(3)
     texts += [None, "", "a b"]
-    items += [None, "", "one two"]
+    items += [None, "", "one two", "a b", "w3é w4é", "three Short words", "exactly four short words", "我们今天一起去北京大学。", "สวัสดี"]
+    texts += ["and three, short words.", "exactly four short", "Exactly: four SHORT words", "昨天他说，我们今天一起去北京大学看书", "我们昨天", "abc我们今天一起去、北京大学def", "สวัสดีครับ"]
     tests = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): (r["item_words"], r["tiles"], r["covered"]) for r in tiling.contaminated(documents(spark, texts), tests, 0.5).collect()}
     want = {}
@@ -62,7 +63,7 @@ def test_against_trying_all_places(spark, monkeypatch, sent):
             n, k, covered = plain(t, x)
             if n and covered and covered >= 0.5 * n:
                 want[d, i] = (n, k, covered)
-    assert got.keys() == want.keys() and len(want) > 5
+    assert got.keys() == want.keys() and len({i for _, i in want if i >= 8}) == 4 and len(want) > 10
     # Between matches of one length any may be marked first.
     assert sum(got[k] == want[k] for k in want) >= 0.9 * len(want)
 
