@@ -288,6 +288,12 @@ def repeated_spans(documents: DataFrame, size: int) -> DataFrame:
     return mapped(buckets, lambda b: count_buckets(b, size), "doc_id long, text_key long, start int, stop int")
 
 
+def spans_of_texts(documents: DataFrame, size: int) -> DataFrame:
+    """The different spans of each ``__id`` and ``__key`` (of its text): equal rows name the same ones, which are kept once."""
+    spans = repeated_spans(documents, size).groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    return spans.agg(F.collect_set(F.struct("start", "stop")).alias("__spans"))
+
+
 def kept_words(words: list[bytes], spans: list[dict]) -> list[bytes]:
     edge = np.zeros(len(words) + 1, np.int32)
     np.add.at(edge, [s["start"] for s in spans], 1)
@@ -319,8 +325,7 @@ def without_repeats(documents: DataFrame, size: int = 35) -> DataFrame:
 
     ``kept_text`` is the text itself if nothing goes, else the kept words joined by a space.
     """
-    spans = repeated_spans(documents, size).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    right = spans.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "spans").hint("shuffle_hash")
+    right = spans_of_texts(documents, size).withColumnRenamed("__spans", "spans").hint("shuffle_hash")
     keyed = documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     both = keyed.join(right, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")), "left")
     return mapped(
@@ -331,8 +336,7 @@ def without_repeats(documents: DataFrame, size: int = 35) -> DataFrame:
 
 def cut(documents: DataFrame, size: int = 35) -> DataFrame:
     """``documents`` with repeated passages removed from ``text``, and ``n_chars`` of the texts that change; all columns stay."""
-    spans = repeated_spans(documents, size).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "stop")).alias("__spans"))
-    right = spans.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "__spans").hint("shuffle_hash")
+    right = spans_of_texts(documents, size).hint("shuffle_hash")
     both = documents.join(right, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left")
     names, schema = documents.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
     return mapped(both.select(*names, "__spans"), lambda b: cut_rows(b, names), schema)

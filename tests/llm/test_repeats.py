@@ -77,3 +77,14 @@ def test_two_windows_with_one_fingerprint_are_told_apart(monkeypatch):
     monkeypatch.setattr(repeats, "windows", lambda values, size: np.zeros(max(0, len(values) - size + 1), np.uint64))
     row, at = repeats.repeated_in_packs([b"a b c", b"a b d", b"a b c"], np.ones(3, np.int64), 3)
     assert row.tolist() == [0, 2] and at.tolist() == [0, 0]
+
+
+def test_equal_rows_keep_their_spans_once(spark):
+    run = " ".join(map(str, range(60)))
+    sizes = []
+    for copies in (50, 400):
+        df = spark.createDataFrame([(None, run)] * copies + [(1, run + " end")], "doc_id long, text string")
+        sizes.append({r["__id"]: r["n"] for r in repeats.spans_of_texts(df, 35).selectExpr("__id", "size(__spans) n").collect()})
+        got = repeats.without_repeats(df, 35)
+        assert got.count() == copies + 1 and {r["n_removed"] for r in got.select("n_removed").distinct().collect()} == {60}
+    assert sizes[0] == sizes[1] and sizes[0].keys() == {None, 1}
