@@ -29,6 +29,8 @@ NO_LETTER = np.ones(256, bool)
 NO_LETTER[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
+#: Settings of a Python worker's C library and Arrow: freed arrays go back to the system, as workers outlive their tasks.
+FREED_MEMORY_RETURNS = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -165,9 +167,11 @@ def chunks(
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH) -> None:
-    """Texts can be long, so few rows go into one Arrow batch. Python workers get this package's folder in their path."""
+    """Texts can be long, so few rows go into one Arrow batch. Python workers get this package's folder in their path and return freed memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    for name, value in FREED_MEMORY_RETURNS.items():
+        spark.sparkContext.environment.setdefault(name, value)
     home, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
     if home not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [home, known]))
