@@ -2,12 +2,14 @@
 
 A page is cut into flat blocks of text at block-level tags. A block has its word count, its
 link density (share of words inside links), both of the block before and after, and two
-marks: whether it lies in an element that holds main text, and whether it or an element
-around it is named or typed as something else (menu, footer, advert, comment, form ...). A
-decision tree, grown from the labelled blocks below, tells main text from the rest. The
-second mark is not taken from body, from words of main or article, from classes of state
-(``has-sidebar``) or from a heading's id, and an article or main within a marked element
-that is neither comments nor hidden does not inherit it.
+marks: whether it lies in an element named as main text or in an article, and whether it or
+an element around it is named or typed as something else (menu, footer, advert, comment,
+form ...). A decision tree, grown from the labelled blocks below, tells main text from the
+rest. The second mark is not taken from body, from words of main or article, from classes of
+state (``has-sidebar``) or from a heading's id, and an article or main within a marked
+element that is neither comments nor hidden does not inherit it. Within an article a name
+counts by its last word that is not one for a piece of a part (``share-bar``, but not
+``share-price``), and links are text unless they are marked.
 
 Defined results: a null page, a page without text or without main text has an empty text.
 Unclosed tags, attributes with ``>`` in quotes and cut-off character references are read
@@ -22,6 +24,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -52,12 +55,18 @@ BREAKOUT = set(
 AFTER_SELECT = set("select input textarea table caption tbody tfoot thead tr td th".split())
 # Words in class, id and role by which pages name their parts.
 OTHER_WORDS = set(
-    "ad ads adv advert advertisement advertising adverts alert banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer "
+    "ad ads adv advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer "
     "disqus discussion footer gdpr hidden login masthead menu meta modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination popup "
     "promo promoted promotion reader recommended related replies reply respond search share sharebar sharing sidebar signin signup skip social sponsor sponsored subscribe "
-    "subscription taboola tags teaser toolbar topbar widget widgets contentinfo complementary".split()
+    "subscription taboola tags teaser thread threads toolbar topbar widget widgets contentinfo complementary".split()
+)
+COMMENT_WORDS = set("comment comments commentlist disqus discussion replies reply respond thread threads".split())
+#: Words that say which piece of a part it is (share-bar, ad-slot), so that the word before them tells what the part is.
+PIECE_WORDS = set(
+    "area article articles bar block body bottom box btn button buttons center code col column container content cta field form frame group header heading holder icon icons "
+    "image img info inner input item items label left line link links list main media me module more news now outer panel posts region right row section sections slot space "
+    "stories strip text this title today top unit us wrap wrapper zone".split()
 )
-COMMENT_WORDS = set("comment comments commentlist disqus discussion replies reply respond".split())
 #: Class words that tell a state of a page or part (has-sidebar, comments-open), not what it is.
 STATE = re.compile(r"^(?:has|no|not|with|without)(?=[-_A-Z])|[-_](?:open|opened|closed|enabled|disabled|on|off)$")
 #: Marks of a part that is something else: by its name or words, a form, comments, hidden.
@@ -74,7 +83,7 @@ TAG = re.compile(
 NAMED = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]*))?""", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
-# The labelled table: words, link density, both before, both after, in main text's element, named as other; main text or not.
+# The labelled table: words, link density, both before, both after, in an element named as main text (1) or an article (2), named as other; main text or not.
 LABELLED = np.array([
     # menus, breadcrumbs, lists of links
     (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0), (2, 1.0, 1, 1.0, 3, 1.0, 0, 0, 0), (1, 1.0, 1, 1.0, 60, 0.0, 0, 0, 0), (4, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0),
@@ -95,6 +104,14 @@ LABELLED = np.array([
     # the same on pages whose body, article or wrapper has a state or a form's name, and headings named like other parts
     (14, 0.0, 0, 0.0, 40, 0.0, 1, 0, 1), (2, 0.0, 40, 0.0, 60, 0.0, 1, 0, 1), (4, 0.0, 60, 0.0, 25, 0.0, 1, 0, 1), (1, 0.0, 25, 0.0, 14, 0.0, 1, 0, 1),
     (70, 0.1, 4, 0.0, 3, 0.0, 1, 0, 1), (5, 0.0, 2, 1.0, 3, 1.0, 1, 0, 1), (2, 0.0, 70, 0.0, 40, 0.0, 1, 1, 0), (40, 0.0, 2, 0.0, 3, 0.0, 1, 1, 0),
+    # in an article: paragraphs that are one link, lists of linked sources, and what is named as other there
+    (7, 1.0, 60, 0.0, 40, 0.0, 2, 0, 1), (5, 1.0, 6, 1.0, 7, 1.0, 2, 0, 1), (2, 1.0, 1, 1.0, 3, 1.0, 2, 0, 1), (12, 0.8, 9, 1.0, 0, 0.0, 2, 0, 1),
+    (9, 1.0, 0, 0.0, 0, 0.0, 2, 0, 1), (40, 0.0, 30, 0.0, 20, 0.0, 2, 0, 1), (2, 0.0, 1, 0.0, 1, 0.0, 2, 0, 1), (5, 0.5, 4, 1.0, 3, 1.0, 2, 0, 1),
+    (30, 0.0, 40, 0.0, 30, 0.0, 2, 1, 0), (3, 1.0, 2, 1.0, 4, 1.0, 2, 1, 0), (1, 0.0, 90, 0.0, 2, 0.0, 2, 1, 0), (12, 0.2, 30, 0.0, 0, 0.0, 2, 1, 0),
+    # one link between paragraphs of a part named as main text
+    (7, 1.0, 60, 0.0, 40, 0.0, 1, 0, 1), (8, 1.0, 30, 0.0, 12, 0.1, 1, 0, 1),
+    # pages of one short block, one of marks alone
+    (0, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0), (1, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (2, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (8, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (2, 1.0, 0, 0.0, 0, 0.0, 0, 0, 0),
     # pages without such an element
     (40, 0.0, 30, 0.0, 60, 0.0, 0, 0, 1), (90, 0.05, 3, 1.0, 70, 0.0, 0, 0, 1), (25, 0.0, 50, 0.0, 4, 0.0, 0, 0, 1), (150, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1),
     (18, 0.1, 40, 0.0, 30, 0.0, 0, 0, 1), (5, 0.0, 60, 0.0, 80, 0.0, 0, 0, 1), (1, 0.0, 50, 0.0, 45, 0.0, 0, 0, 1), (9, 0.0, 2, 1.0, 70, 0.0, 0, 0, 1),
@@ -129,13 +146,27 @@ class Tree:
         return np.where(features[:, column] < cut, self.low(features), self.high(features))
 
 
+def told(token: str, inner: bool) -> set[str]:
+    """Words of a class, id or role that say what a part is.
+
+    Within an article only the last word does that is not a piece of a part: ``share-bar`` is
+    for sharing, ``share-price`` is a price.
+    """
+    found = [w.lower() for w in WORD.findall(token)]
+    if not inner:
+        return set(found)
+    while found and (found[-1] in PIECE_WORDS or found[-1].isdigit() or len(found[-1]) == 1):
+        found.pop()
+    return set(found[-1:])
+
+
 @lru_cache(65_536)
-def marks(name: str, rest: str) -> tuple[bool, int]:
+def marks(name: str, rest: str, inner: bool = False) -> tuple[bool, int]:
     """Whether a start tag says main text, and the marks by which it says something else.
 
     Body and html have no marks. Words mark neither main nor article, except that an article
     may be named a comment (see ``judged``). An id marks a container only, as that of a
-    heading or paragraph is made from its text.
+    heading or paragraph is made from its text. ``inner`` tells that it lies in an article or main.
     """
     main, other = name in MAIN, (FORM if name in ("form", "fieldset") else NAMED_OTHER) if name in OTHER else 0
     if name in ("html", "body"):
@@ -148,7 +179,7 @@ def marks(name: str, rest: str) -> tuple[bool, int]:
             if name == "article" and key == "class" and COMMENT_WORDS & set(value.lower().split()):
                 other |= COMMENT
         elif key in ("class", "role") or key == "id" and name in CONTAINERS:
-            found = {w.lower() for token in value.split() if not STATE.search(token) for w in WORD.findall(token)}
+            found = {w for token in value.split() if not STATE.search(token) for w in told(token, inner)}
             if found & OTHER_WORDS:
                 other |= COMMENT if found & COMMENT_WORDS else NAMED_OTHER
             elif found & MAIN_WORDS:
@@ -170,7 +201,7 @@ class Part(NamedTuple):
 
 def inside(part: Part, name: str, rest: str) -> Part:
     """The part that a container's start tag opens."""
-    main, other = marks(name, rest)
+    main, other = marks(name, rest, part.inner)
     if name == "header" and not part.main:  # of the page; an article's own header holds its heading
         other |= NAMED_OTHER
     marked = part.marked + bool(other & (NAMED_OTHER | FORM))
@@ -251,8 +282,8 @@ class Unseen:
         return bool(self.open)
 
 
-def blocks(html: str) -> list[tuple[str, int, int, bool, bool]]:
-    """Text, words, words in links, in main text's element, named as other: of each block of a page, in order."""
+def blocks(html: str) -> list[tuple[str, int, int, int, bool]]:
+    """Text, words, words in links, in an element named as main text (1) or in an article or main (2), named as other: of each block of a page, in order."""
     out: list[tuple[str, int, int, Part, int]] = []
     around = [Part()]
     pieces: list[str] = []
@@ -265,7 +296,8 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool]]:
         if pieces:
             words = unescape("".join(pieces)).split()
             if words:
-                out.append((" ".join(words), len(words), len(unescape(" ".join(linked)).split()), around[-1], around[-1].other | own))
+                said = len(words) if any(map(str.isalnum, chain.from_iterable(words))) else 0  # marks alone say nothing
+                out.append((" ".join(words), said, len(unescape(" ".join(linked)).split()), around[-1], around[-1].other | own))
             pieces.clear()
             linked.clear()
         own = 0
@@ -306,7 +338,7 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool]]:
                 else:
                     around.append(inside(around[-1], name, tag["rest"]))
             elif not end:
-                own = marks(name, tag["rest"])[1]
+                own = marks(name, tag["rest"], around[-1].inner)[1]
     if at < len(html) and not unseen:
         pieces.append(html[at:])
         if in_link:
@@ -315,7 +347,7 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool]]:
     return judged(out)
 
 
-def judged(found: list[tuple[str, int, int, Part, int]]) -> list[tuple[str, int, int, bool, bool]]:
+def judged(found: list[tuple[str, int, int, Part, int]]) -> list[tuple[str, int, int, int, bool]]:
     """Weighs a page's parts against each other.
 
     Articles in marked containers (related articles, say) are main text unless articles in
@@ -331,7 +363,7 @@ def judged(found: list[tuple[str, int, int, Part, int]]) -> list[tuple[str, int,
     others = [other or (NAMED_OTHER if part.inner and part.level > most else 0) for _, _, _, part, other in found]
     plain, form = (sum(words - linked for (_, words, linked, _, _), other in zip(found, others) if other == kind) for kind in (0, FORM))
     wrapper = form > plain
-    return [(t, words, linked, part.main, bool(other) and not (wrapper and other == FORM)) for (t, words, linked, part, _), other in zip(found, others)]
+    return [(t, words, linked, part.main + part.inner, bool(other) and not (wrapper and other == FORM)) for (t, words, linked, part, _), other in zip(found, others)]
 
 
 def features(words: np.ndarray, linked: np.ndarray, main: np.ndarray, other: np.ndarray, page: np.ndarray) -> np.ndarray:

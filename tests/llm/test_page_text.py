@@ -111,6 +111,28 @@ def test_states_and_wrappers_do_not_mark_the_article():
         assert got == WANT if "<div>" not in page else {*WANT} - {"Head", "Search", "Discussion", "Short."} <= {*got} and "One" not in got, page
 
 
+def test_nothing_of_an_article_is_dropped_for_its_links_or_a_word_of_its_class():
+    whole = (
+        "<p><a href=x>Read the complete report on this site</a></p>", "<p class='byline'>By A. Writer</p>", "<p class='share-price'>The price rose.</p>",
+        "<div class='search-history'><p>Searching began in caves.</p></div>", "<ul><li><a>Source one</a></li><li><a>Source two</a></li></ul>",
+        "<p class='comment-culture'>People comment.</p>", "<section class='social-history'><p>Society then.</p></section>", "<p class='adTech'>On adverts.</p>",
+    )
+    gone = (
+        "<ol class='thread'><li>A reader says no.</li></ol>", "<div class='share-bar'><a>Tweet</a></div>", "<div class='ad-slot-3'>Buy now.</div>", "<ul class='related-articles'><li><a>Other</a></ul>",
+        "<div class='newsletterSignup'>Get our letters.</div>", "<p class='post-meta'>Posted in News</p>", "<div class='comment-list'>First!</div>", "<nav><a>Home</a></nav>",
+    )
+    plain = lambda html: [" ".join(re.sub("<[^>]*>", " ", x).split()) for x in re.split("</(?:p|li)>", html) if re.sub("<[^>]*>", "", x).strip()]
+    want = [x for w in whole for x in [*plain(w), LONG.strip()]]
+    for start, end in (("<article>", "</article>"), ("<main>", "</main>"), ("<div class='wrapper'><article class='post'>", "</article></div>")):
+        assert text(start + "".join(w + f"<p>{LONG}</p>" + g for w, g in zip(whole, gone)) + end).split("\n") == want
+        for w in whole:
+            assert text(f"{start}{w}{end}").split("\n") == plain(w), w
+
+
+def test_short_page():
+    assert text("<p>Hello world</p>") == "Hello world" and text("<html><body>Hi</body></html>") == "Hi" and text("<p><a>Go on</a></p>") == ""
+
+
 def test_parts_that_stay_marked():
     card = f"<article class='card'><p>{LONG}</article>"
     for other in (
