@@ -14,7 +14,8 @@ Defined results: a null or empty text has no tokens, nor has one whose tokens' b
 the space and the text (a text that holds the second tokenizer's own sign for a space, for
 one); its counts are 0 and its digest is empty. Repeated rows are documents of their own and
 may share a ``doc_id``, which may be null. Only ``doc_id`` and ``text`` are read. A document is
-encoded in one piece: its tokens must fit a task.
+encoded in one piece: its tokens must fit a task. The digest is over the groups' ids as text;
+``signs`` are the one between a group's two sides and the one between groups.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ from callglass.llm.words import mapped, small_batches
 CHUNK, PLAIN_GROUP, COUNTED = 1_000_000, 4_096, 2_000_000
 #: Pairs whose counts go to all tasks, 16 bytes each.
 HELD = 6_000_000
+#: Between the sides of a group and between groups, if a caller names none.
+SIGNS = ";|"
 # The printable characters that stand for themselves in byte-level vocabularies.
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
@@ -64,7 +67,7 @@ class Table:
 class Sides:
     """The two tokenizers, their bytes, and their ids as text with each sign that can follow."""
 
-    def __init__(self, first: str, second: str) -> None:
+    def __init__(self, first: str, second: str, signs: str = SIGNS) -> None:
         import public_tokenizers
         import sentencepiece
         import tiktoken
@@ -93,8 +96,8 @@ class Sides:
             for i, p in enumerate(self.pieces.id_to_piece(k) for k in range(self.pieces.get_piece_size()))
         ])
         na, nb = len(self.a.lengths), len(self.b.lengths)
-        #: Text of A's id with "," or ";" after it, then of B's with "," or "|".
-        self.told = [f"{i}{s}" for i in range(na) for s in ",;"] + [f"{i}{s}" for i in range(nb) for s in ",|"]
+        #: Text of A's id with "," or the sign between sides after it, then of B's with "," or the sign between groups.
+        self.told = [f"{i}{s}" for i in range(na) for s in "," + signs[0]] + [f"{i}{s}" for i in range(nb) for s in "," + signs[1]]
         self.base = 2 * na
         self.nb = nb
 
@@ -114,10 +117,11 @@ def settled(text: str) -> bool:
     return bool(((points < 0x590) | ((points >= 0x2000) & (points < 0x2070))).all())
 
 
-_sides: dict[tuple[str, str], Sides] = {}
+_sides: dict[tuple[str, ...], Sides] = {}
 
 
-def sides(names: tuple[str, str]) -> Sides:
+def sides(names: tuple[str, ...]) -> Sides:
+    """For two file names and, if given, the digest's signs."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -252,7 +256,7 @@ def aligned_chunk(doc_ids: pa.Array, texts: list[str | None], s: Sides) -> pa.Re
     return pa.RecordBatch.from_arrays([doc_ids.cast(pa.int64()), *(pa.array(counts[c], pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")), pa.array(digest), *lists], NAMES)
 
 
-def aligned_batches(batches: Iterator[pa.RecordBatch], names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
+def aligned_batches(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     s = sides(names)
     for batch in batches:
         texts, low = batch.column("text").to_pylist(), 0
@@ -327,9 +331,9 @@ def scored(documents: DataFrame, counts: DataFrame, held: int) -> DataFrame:
     return documents.join(sums, "row", "left").select(*SHOWN, *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_best", "count_sum")])
 
 
-def aligned(documents: DataFrame, first: str = "byte_bpe_50k.json", second: str = "piece_bpe_32k.model", held: int | None = None) -> DataFrame:
+def aligned(documents: DataFrame, first: str = "byte_bpe_50k.json", second: str = "piece_bpe_32k.model", held: int | None = None, signs: str = SIGNS) -> DataFrame:
     """Numbers of tokens, groups and links of every document, and how common its linked id pairs are."""
     small_batches(documents.sparkSession)
-    rows = mapped(documents.select("doc_id", "text"), lambda b: aligned_batches(b, (first, second)), COLUMNS)
+    rows = mapped(documents.select("doc_id", "text"), lambda b: aligned_batches(b, (first, second, signs)), COLUMNS)
     kept = stored(rows.withColumn("row", F.monotonically_increasing_id()), "aligned")
-    return scored(kept, pair_counts(kept, sides((first, second)).nb), HELD if held is None else held)
+    return scored(kept, pair_counts(kept, sides((first, second, signs)).nb), HELD if held is None else held)

@@ -62,7 +62,7 @@ def op11_whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_aligned_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alignment.aligned(table(spark, sf_dir, "documents"))
+    return alignment.aligned(table(spark, sf_dir, "documents"), signs="|;")
 
 
 def op13_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from tables import DOCUMENTS, documents
 
-from callglass.llm import alignment
+from callglass.llm import alignment, catalogue
 
 NAMES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
@@ -141,3 +141,15 @@ def test_empty_tables_and_repeated_rows(spark, s):
         assert got == [(0, links, 3 * links), (1, links, 3 * links), (1, links, 3 * links), (2, got[3][1], got[3][1])]
     clash = documents(spark, ["a b"]).withColumnsRenamed({"lang": "pairs", "source": "row"})
     assert len(alignment.aligned(clash).collect()) == 1
+
+
+def test_query_writes_groups_as_its_contract_says(spark, s):
+    """`a1,a2|b1;a3|b2,b3`: a bar between the sides of a group, a semicolon between groups."""
+    path = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
+    digests = {r["doc_id"]: r["groups_sha256"] for r in catalogue.op12_aligned_tokens(spark, path).collect()}
+    want = {}
+    for k, t in texts.items():
+        line = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups(t, s))
+        want[k] = hashlib.sha256(line.encode()).hexdigest() if line else ""
+    assert digests == want
