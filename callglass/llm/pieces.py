@@ -12,9 +12,9 @@ A text of more than ``CHUNK`` characters is split. A chunk yields a transfer mat
 each state at its left border (which piece lies across or ends there) and each state at its
 right border the weight of the best path between. Matrices combine associatively; the
 vector of the first chunk is carried through them, the best states are traced back, and
-then each chunk traces its own part with its two states alone. Places before a blank that
-no piece crosses are common to all paths, so what lies between them is solved once and
-remembered for a while.
+then each chunk traces its own part with its two states alone. Places between two
+characters that no piece holds side by side are common to all paths, so what lies between
+them is solved once and remembered for a while.
 
 Characters that are no piece become their UTF-8 byte pieces. A blank is put before the text,
 as the model's normaliser does.
@@ -39,9 +39,9 @@ from callglass.llm.words import mapped, small_batches, windows
 
 BLANK = "▁"
 #: Characters of a chunk, stretches a task remembers, longest stretch that is remembered.
-CHUNK, REMEMBERED, LONGEST = 32_768, 150_000, 48
-#: Neighbours of pieces a task remembers.
-PAIRS = 600_000
+CHUNK, REMEMBERED, LONGEST = 32_768, 400_000, 48
+#: Neighbours of pieces a task remembers, and texts that are cut into stretches at once.
+PAIRS, CUT = 600_000, 50
 #: Longest stretch that is solved beside others, and how many at once.
 WIDEST, BATCH = 64, 20_000
 UNITS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
@@ -63,6 +63,11 @@ def few_bits(hashes: np.ndarray) -> np.ndarray:
         return ((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
 
 
+def neighbours(points: np.ndarray) -> np.ndarray:
+    """A small hash of each character and the one after it."""
+    return few_bits(points[:-1] << np.uint64(21) | points[1:])
+
+
 class Pieces:
     """A model's pieces and the weights of paths."""
 
@@ -90,6 +95,10 @@ class Pieces:
             node[""] = True
         #: No piece has a blank after another character, so all paths meet before such a blank.
         self.meets = not any(re.search(f"[^{BLANK}]{BLANK}", p) for p in plain)
+        #: By hash, the neighbours that some piece holds; others no piece and no merge can span, so all paths meet between them.
+        self.joined = np.zeros(1 << 20, bool)
+        twos = "".join(sorted({p[k : k + 2] for p in plain for k in range(len(p) - 1)}))
+        self.joined[neighbours(places(twos))[::2]] = True
         #: Whether right may follow left, by number of left * count + number of right.
         self.beside: dict[int, bool] = {}
         self.number = {p: k for k, p in enumerate(plain)}
@@ -100,13 +109,19 @@ class Pieces:
         self.by_length = []
         for n in range(1, self.longest + 1):
             own = [p for p in self.whole if len(p) == n]
-            hashes = np.array([windows(places(p), n)[0] for p in own], np.uint64)
+            hashes = windows(places("".join(own)), n)[::n]
             order = np.argsort(hashes)
             maybe = np.zeros(1 << 20, bool)
             maybe[few_bits(hashes)] = True
             self.by_length.append((hashes[order], np.array([self.number[p] for p in own], np.int64)[order], maybe))
         self.pairs, self.fit = np.array([-1], np.int64), np.array([False])
         self.known: dict[str, list[str]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """No solved stretches: their numbers, and of each where its ids begin and how many they are."""
+        self.solved: dict[str, int] = {}
+        self.at, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def merged(self, text: str) -> list[str]:
         """Merges the neighbours of best score, the leftmost first, as long as there are any."""
@@ -249,26 +264,56 @@ class Pieces:
         return ids, np.append(place[np.searchsorted(starts, first)], place[-1])
 
     def ids_of_texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and where each begins and the last ends; a stretch is solved once."""
-        rows = [self.units(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-        every = [u for r in rows for u in r]
-        index = {u: k for k, u in enumerate(dict.fromkeys(every))}
-        order = np.fromiter(map(index.__getitem__, every), np.int64, len(every))
-        short = [u for u in index if len(u) <= WIDEST]
-        wide = [u for u in index if len(u) > WIDEST]
-        flat, starts, shift = [], np.zeros(len(index) + 1, np.int64), 0
-        sizes = np.zeros(len(index), np.int64)
+        """Ids of all texts, one after the other, and where each begins and the last ends.
+
+        A stretch is solved once and remembered for the texts that follow; a wide one only for these texts.
+        """
+        every, rows = [], np.zeros(len(texts) + 1, np.int64)
+        for low in range(0, len(texts), CUT):
+            some = [BLANK + t.replace(" ", BLANK) if t else "" for t in texts[low : low + CUT]]
+            own, starts = self.stretches(some)
+            rows[low + 1 : low + 1 + len(some)] = starts[1:] + len(every)
+            every += own
+        different = dict.fromkeys(every)
+        short = [u for u in different if len(u) <= WIDEST and u not in self.solved]
+        if len(self.solved) + len(short) > REMEMBERED:
+            self.forget()
+            short = [u for u in different if len(u) <= WIDEST]
+        wide = [u for u in different if len(u) > WIDEST]
+        del different
+        at, sizes, flat, shift = [self.at], [self.sizes], [self.flat], len(self.flat)
         for some in (*(short[k : k + BATCH] for k in range(0, len(short), BATCH)), *([u] for u in wide)):
             ids, ends = self.solve(some)
-            where = [index[u] for u in some]
-            starts[where], sizes[where] = ends[:-1] + shift, np.diff(ends)
+            at.append(ends[:-1] + shift)
+            sizes.append(np.diff(ends))
             flat.append(ids)
             shift += len(ids)
-        solved = np.concatenate([np.zeros(0, np.int32), *flat])
+        index = {u: k for k, u in enumerate((*short, *wide), len(self.solved))}
+        at, sizes, flat = map(np.concatenate, (at, sizes, flat))
+        self.solved |= index
+        order = np.fromiter(map(self.solved.__getitem__, every), np.int64, len(every))
         count = sizes[order]
         ends = np.concatenate([[0], np.cumsum(count)])
-        ids = solved[np.repeat(starts[order] - ends[:-1], count) + np.arange(int(ends[-1]))]
-        return ids, ends[np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)]
+        ids = flat[np.repeat(at[order] - ends[:-1], count) + np.arange(int(ends[-1]))]
+        for u in wide:
+            del self.solved[u]
+        kept = len(self.solved)
+        self.at, self.sizes = at[:kept], sizes[:kept]
+        self.flat = flat[: int(self.at[-1] + self.sizes[-1]) if kept else 0].copy()
+        return ids, ends[rows]
+
+    def stretches(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """What lies between the neighbours that no piece holds, text after text, and where each text begins and the last ends."""
+        text = "".join(texts)
+        bounds = np.cumsum([0, *map(len, texts)])
+        if not text:
+            return [], np.zeros(len(bounds), np.int64)
+        new = np.ones(len(text), bool)
+        new[1:] = ~self.joined[neighbours(places(text))]
+        new[bounds[bounds < len(text)]] = True
+        starts = np.flatnonzero(new)
+        at = starts.tolist()
+        return [text[a:b] for a, b in zip(at, [*at[1:], len(text)])], np.searchsorted(starts, bounds)
 
     def only_path(self, text: str) -> list[str]:
         """The best path from the start of a text to its end in a merging model.
@@ -483,13 +528,24 @@ def traced(batches: Iterator[pa.RecordBatch], file: str) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "text_key", "no")), ids_of(rows)], ["doc_id", "text_key", "no", "ids"])
 
 
+def short_texts(documents: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text`` of the texts of one chunk, nulls among them."""
+    small_batches(documents.sparkSession)
+    return documents.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) < CHUNK)
+
+
 def encode(documents: DataFrame, file: str | None = None) -> DataFrame:
     """``doc_id``, ``text`` and ``ids`` of every document."""
-    small_batches(documents.sparkSession)
     file = file or vocabulary_file()
+    short = mapped(short_texts(documents), lambda b: encoded(b, file), "doc_id long, text string, ids array<int>")
+    return short.union(encoded_long(documents, file))
+
+
+def encoded_long(documents: DataFrame, file: str) -> DataFrame:
+    """``doc_id``, ``text`` and ``ids`` of the texts of more chunks."""
+    small_batches(documents.sparkSession)
     rows = documents.select("doc_id", "text")
     size, margin = CHUNK, model(file).longest
-    short = mapped(rows.where(F.coalesce(F.length("text"), F.lit(0)) < size), lambda b: encoded(b, file), "doc_id long, text string, ids array<int>")
     key = F.xxhash64("text").alias("text_key")
     long = rows.where(F.length("text") >= size).select("doc_id", key, "text")
     once = long.dropDuplicates(["doc_id", "text_key"])
@@ -501,8 +557,7 @@ def encode(documents: DataFrame, file: str | None = None) -> DataFrame:
     both = chunks.join(right, [*same, F.col("no") == F.col("m")]).drop("d", "k", "m")
     own = mapped(both, lambda b: traced(b, file), "doc_id long, text_key long, no int, ids array<int>")
     whole = own.groupBy("doc_id", "text_key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", "ids"))), lambda x: x["ids"])).alias("ids"))
-    joined = long.join(whole.withColumnsRenamed({"doc_id": "d", "text_key": "k"}), same).select("doc_id", "text", "ids")
-    return short.union(joined)
+    return long.join(whole.withColumnsRenamed({"doc_id": "d", "text_key": "k"}), same).select("doc_id", "text", "ids")
 
 
 def decoded(batches: Iterator[pa.RecordBatch], file: str) -> Iterator[pa.RecordBatch]:
@@ -531,8 +586,14 @@ def checked(batches: Iterator[pa.RecordBatch], file: str) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(same), ids], ["doc_id", "n_pieces", "ids_sha256", "round_trip", "ids"])
 
 
+CHECKED = "doc_id long, n_pieces long, ids_sha256 string, round_trip boolean, ids array<int>"
+
+
 def encoded_documents(documents: DataFrame, file: str | None = None) -> DataFrame:
-    """``doc_id``, ``n_pieces``, ``ids_sha256`` (little-endian 32-bit ids), ``round_trip`` (whether decoding gives the text) and ``ids``."""
+    """``doc_id``, ``n_pieces``, ``ids_sha256`` (little-endian 32-bit ids), ``round_trip`` (whether decoding gives the text) and ``ids``.
+
+    A text of one chunk is encoded and checked by one worker: each of two steps would hold the model in a worker of its own.
+    """
     file = file or vocabulary_file()
-    rows = encode(documents, file)
-    return mapped(rows, lambda b: checked(b, file), "doc_id long, n_pieces long, ids_sha256 string, round_trip boolean, ids array<int>")
+    short = mapped(short_texts(documents), lambda b: checked(encoded(b, file), file), CHECKED)
+    return short.union(mapped(encoded_long(documents, file), lambda b: checked(b, file), CHECKED))

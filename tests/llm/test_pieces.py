@@ -109,3 +109,33 @@ def test_models_with_longer_pieces(spark, monkeypatch, tmp_path):
     texts = [" ".join(rng.choice(words)[rng.randint(0, 9) :] for _ in range(12)) for _ in range(30)] + lines[:20]
     got = {r["doc_id"]: r["ids"] for r in pieces.encode(documents(spark, texts), file).collect()}
     assert got == {i: library.encode(t) for i, t in enumerate(texts)}
+
+
+def test_stretches_are_whole_and_remembered(library, monkeypatch):
+    own = pieces.Pieces(pieces.vocabulary_file())
+    texts = odd_texts(5) + ["co.\nCiónes, andenorer", "", "andenorer,", "co.\nCiónes", "w" * 70]
+    spaced = [pieces.BLANK + t.replace(" ", pieces.BLANK) if t else "" for t in texts]
+    found, first = own.stretches(spaced)
+    for k, t in enumerate(spaced):
+        mine = found[first[k] : first[k + 1]]
+        assert "".join(mine) == t
+        assert [i for s in mine for i in own.numbers(own.only_path(s))] == library.encode(texts[k])
+    assert own.stretches(["▁co.\nCi"])[0] == ["▁co.", "\n", "Ci"]
+    want = [i for t in texts for i in library.encode(t)]
+    assert own.ids_of_texts(texts)[0].tolist() == want
+    solve, calls = own.solve, []
+    monkeypatch.setattr(own, "solve", lambda units: calls.extend(units) or solve(units))
+    assert own.ids_of_texts(texts)[0].tolist() == want
+    assert all(len(u) > pieces.WIDEST for u in calls) and len(own.solved) == len(own.at) == len(own.sizes)
+    monkeypatch.setattr(pieces, "REMEMBERED", 3)
+    for _ in range(2):
+        assert own.ids_of_texts(texts + [None])[0].tolist() == want
+
+
+def test_a_short_text_needs_one_worker(spark):
+    """Encoding and checking in two Python steps of a stage would hold the model in two workers of a task."""
+    df = pieces.encoded_documents(documents(spark, ["a b"]))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Union", 1)
+    assert "MapInArrow" not in above
+    assert "LogicalRDD" in below.split("MapInArrow")[1]
