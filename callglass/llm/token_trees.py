@@ -30,6 +30,8 @@ from callglass.llm.words import mapped, small_batches
 
 #: Leaves in a block (the tree stands on blocks), and pre-tokens whose token count a task remembers.
 BLOCK, REMEMBERED = 64, 200_000
+#: Segments a task remembers.
+SEGMENTS = 600_000
 #: Characters after a pre-token that can change where it ends.
 AHEAD = 2
 TREE = "blocks binary, lengths binary, counts binary"
@@ -39,6 +41,12 @@ SCRUBBED = re.compile(r"(?P<address>[\w.+-]+@[\w-]+(?:\.[\w-]+)+)|(?P<number>\d{
 NO_ADDRESS = re.compile(r"(?P<number>\d{5,})|(?P<run>([^\w\s])\3{2,})")
 
 
+#: Some blanks and what stands up to the next; no pre-token has a blank behind another character.
+SEGMENT = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
+#: White space besides these, with which a run of blanks can go on.
+OTHER_BLANK = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
 class Counter:
     """Pre-tokens and their token counts."""
 
@@ -54,6 +62,26 @@ class Counter:
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={})
         self.known: dict[str, int] = {}
+        #: Of a segment the pre-tokens, the tokens as a multiple of 2^32, and 2^64 if an edit lies in it; no edit holds a blank.
+        self.segments: dict[str, int] = {}
+
+    def totals(self, text: str) -> tuple[int, int, bool]:
+        """Pre-tokens and tokens of a text, and whether it has edits; each segment of it is cut once and remembered for a while."""
+        if OTHER_BLANK.search(text):
+            return len(self.pattern.findall(text)), len(self.encoding.encode_ordinary(text)), SCRUBBED.search(text) is not None
+        own, known = SEGMENT.findall(text), self.segments
+        try:
+            both = sum(map(known.__getitem__, own))
+        except KeyError:
+            new = [s for s in dict.fromkeys(own) if s not in known]
+            if len(known) + len(new) > SEGMENTS:
+                known.clear()
+                new = list(dict.fromkeys(own))
+            for s in new:
+                pieces = self.pattern.findall(s)
+                known[s] = (sum(map(self, pieces)) << 32) + len(pieces) + ((SCRUBBED.search(s) is not None) << 64)
+            both = sum(map(known.__getitem__, own))
+        return both & 0xFFFFFFFF, both >> 32 & 0xFFFFFFFF, both >> 64 > 0
 
     def __call__(self, piece: str) -> int:
         n = self.known.get(piece)
@@ -133,9 +161,9 @@ class Tree:
         first, start = self.find(low)
         last, begin = self.find(max(low, high - 1))
         a, b = self.blocks[first]
-        head = int(np.searchsorted(np.cumsum(a), low - start, "right")) if low > start else 0
+        head = int(a.cumsum().searchsorted(low - start, "right")) if low > start else 0
         c, d = self.blocks[last]
-        tail = int(np.searchsorted(np.cumsum(c), high - begin, "right")) if high > begin else 0
+        tail = int(c.cumsum().searchsorted(high - begin, "right")) if high > begin else 0
         self.blocks[first] = (np.concatenate([a[:head], lengths, c[tail:]]), np.concatenate([b[:head], counts, d[tail:]]))
         empty = np.zeros(0, np.uint32)
         for k in range(first + 1, last + 1):
@@ -154,15 +182,19 @@ class Tree:
     def border(self, place: int) -> int:
         """Start of the first leaf that ends after ``place``."""
         block, start = self.find(place)
-        ends = start + np.cumsum(self.blocks[block][0])
-        k = int(np.searchsorted(ends, place, "right"))
-        return int(ends[k - 1]) if k else start
+        ends = self.blocks[block][0].cumsum()
+        k = int(ends.searchsorted(place - start, "right"))
+        return start + int(ends[k - 1]) if k else start
 
     def is_border(self, place: int) -> bool:
         if place in (0, self.characters):
             return True
         block, start = self.find(place)
-        return place == start or bool((start + np.cumsum(self.blocks[block][0]) == place).any())
+        if place == start:
+            return True
+        ends = self.blocks[block][0].cumsum()
+        k = int(ends.searchsorted(place - start))
+        return k < len(ends) and int(ends[k]) == place - start
 
 
 def edit(tree: Tree, text: str, start: int, stop: int, put: str, count: Counter) -> tuple[str, Tree, int]:
@@ -249,11 +281,11 @@ def scrubbed(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.Record
         out = []
         for text in batch.column("text").to_pylist():
             text = text or ""
-            edits = places_to_scrub(text)
-            if not edits:
-                n = len(count.encoding.encode_ordinary(text))
-                out.append((n, 0, n, len(count.pattern.findall(text)), 0))
+            pieces, n, touched = count.totals(text)
+            if not touched:
+                out.append((n, 0, n, pieces, 0))
                 continue
+            edits = places_to_scrub(text)
             tree, anew = Tree.of(*count.cut(text)), 0
             before = tree.tokens
             for start, stop, put in reversed(edits):

@@ -64,3 +64,22 @@ def test_stored_trees_and_edits(spark, count, tmp_path):
     assert token_trees.scrubbed_counts(df.limit(0)).count() == 0
     twice = spark.createDataFrame([(1, "a 12345", 3), (1, "a 12345", 3), (None, "b", 3)], "doc_id long, text string, n_tokens int")
     assert sorted((r["n_edits"]) for r in token_trees.scrubbed_counts(twice).collect()) == [0, 1, 1]
+
+
+def test_segments_add_up_and_are_cut_once(monkeypatch):
+    count = token_trees.Counter("byte_bpe_50k.tiktoken")
+    rng = random.Random(4)
+    bits = ["the", "word", " ", "  ", "\n", "\t", "\r\n", "don't", "'s", "é", "漢", "12", "12345", "a@b.co", "!!", "!!!", "\xa0", "\x0b", "\x1c", "\u2028", "\u200b", "\u3000", "-"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.choice([0, 1, 3, 40]))) for _ in range(3000)]
+    for limit in (600_000, 5):
+        monkeypatch.setattr(token_trees, "SEGMENTS", limit)
+        for t in texts:
+            want = len(count.pattern.findall(t)), len(count.encoding.encode_ordinary(t)), bool(token_trees.places_to_scrub(t))
+            assert count.totals(t) == want, repr(t)
+    calls, plain = [], count.pattern
+    monkeypatch.setattr(token_trees, "SEGMENTS", 600_000)
+    count.segments.clear()
+    count.totals("some words of a text")
+    count.pattern = type("Watched", (), {"findall": lambda self, s: calls.append(s) or plain.findall(s)})()
+    assert count.totals("some words of a text of words")[:2] == (7, len(count.encoding.encode_ordinary("some words of a text of words")))
+    assert calls == []
